@@ -13,6 +13,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.embedding_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.mixing import mix_plan
 
@@ -25,12 +31,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.line_dedup import line_decisions
+
+    found = line_decisions(table(spark, sf_dir, "documents"))
+    return found.select(found.doc.alias("doc_id"), found.line.alias("line_no"), "kept", found.first_doc.alias("first_doc_id"), found.first_line.alias("first_line_no"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op5_simhash, op9_quality_rules)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fieldloom.llm.bpe import encode_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_mixing, op5_simhash, op6_line_dedup, op9_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
