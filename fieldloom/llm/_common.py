@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the cluster's checkpoint folder and read it from there."""
+    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldloom-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def bounded(small: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast where the counted size allows one; beyond it the join shuffles (and AQE splits hot keys)."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small

@@ -25,6 +25,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"), (5, 2, 1), 3).drop("text_key")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.simhash import near_duplicates
 
@@ -38,6 +44,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.doc.alias("doc_id"), found.line.alias("line_no"), "kept", found.first_doc.alias("first_doc_id"), found.first_line.alias("first_line_no"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.line_quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.quality_rules import judge
 
@@ -53,6 +71,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_mixing, op5_simhash, op6_line_dedup, op9_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_mixing, op4_toxicity, op5_simhash, op6_line_dedup, op7_line_quality, op8_language_model, op9_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}

@@ -284,6 +284,21 @@ def score_documents(docs: DataFrame, model: ToxicityModel | None, keep: list[str
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores below the threshold."""
+    model, at, names = fit(docs, labels), docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                if model is not None:
+                    batch = batch.filter(pa.array(model.text_scores([t or "" for t in batch.column(at).to_pylist()]) < threshold))
+                yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``."""
     scored = score_documents(docs, fit(docs, labels), ["doc_id"])
