@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words and bytes of a recursive query; bytes above which a word is long; entries of a cache's generation.
-CHUNK_WORDS, CHUNK_BYTES, LONG, CACHE = 40_000, 600_000, 256, 150_000
+CHUNK_WORDS, CHUNK_BYTES, LONG, CACHE = 40_000, 600_000, 256, 400_000
 
 ENCODE = """
 WITH RECURSIVE state(step, w, g, e, tok, nxt) AS (
@@ -134,10 +134,12 @@ class Codec:
     def decode(self, ids: list[list[int] | np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
         size = np.array([len(x) for x in ids], dtype=np.int64)
-        if not size.sum():
-            return [b""] * len(ids)
-        flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in ids if len(x)])
-        self._put("ids", w=np.repeat(np.arange(len(ids)), size), at=np.arange(len(flat)), id=flat)
+        return self._decode(np.concatenate([np.asarray(x, dtype=np.int32) for x in ids if len(x)]) if size.any() else np.zeros(0, np.int32), size)
+
+    def _decode(self, flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+        if not len(flat):
+            return [b""] * len(size)
+        self._put("ids", w=np.repeat(np.arange(len(size)), size), at=np.arange(len(flat)), id=flat)
         found = iter(self.db.execute(DECODE).fetchall())
         return [bytes.fromhex(next(found)[0]) if n else b"" for n in size]
 
@@ -146,7 +148,7 @@ class Codec:
         for at in range(0, len(raw), CHUNK_WORDS):
             part = self.encode(raw[at : at + CHUNK_WORDS])
             numbers = np.array(",".join(ids for _, ids in part).split(","), dtype=np.int32)
-            back = self.decode(np.split(numbers, np.cumsum([n for n, _ in part])[:-1]))
+            back = self._decode(numbers, np.array([n for n, _ in part]))
             self.words.update((w, (n, ids, b)) for w, (n, ids), b in zip(words[at : at + CHUNK_WORDS], part, back, strict=True))
 
     def spans_of(self, text: str) -> list[str]:
@@ -159,14 +161,14 @@ class Codec:
     def run(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """For each text: its number of tokens, its ids joined by commas, and the decoded bytes."""
         cut = [self.spans_of(t) for t in texts]
-        fresh = {s for spans in cut for s in spans if s not in self.spans}
+        fresh = set().union(*cut).difference(self.spans)
         parts: dict[str, list[str]] = {}
         for s in fresh:
             if s in self.old_spans:
                 self.spans[s] = self.old_spans[s]
             else:
                 parts[s] = self.split(s)
-        need = {w for ws in parts.values() for w in ws if w not in self.words}
+        need = set().union(*parts.values()).difference(self.words)
         known = {w: self.old_words[w] for w in need if w in self.old_words}
         self.words.update(known)
         self._learn([w for w in need if w not in known])
@@ -175,8 +177,8 @@ class Codec:
             self.spans[s] = found[0] if len(found) == 1 else (sum(x[0] for x in found), ",".join([x[1] for x in found]), b"".join([x[2] for x in found]))
         out = []
         for spans in cut:
-            found = [self.spans[s] for s in spans]
-            out.append((sum([x[0] for x in found]), ",".join([x[1] for x in found]), b"".join([x[2] for x in found])))
+            n, ids, back = zip(*map(self.spans.__getitem__, spans), strict=True) if spans else ((), (), ())
+            out.append((sum(n), ",".join(ids), b"".join(back)))
         for now, old in (("words", "old_words"), ("spans", "old_spans")):
             if len(getattr(self, now)) > CACHE or sum(map(len, parts)) > 50_000_000:
                 setattr(self, old, getattr(self, now))
@@ -194,7 +196,7 @@ def codec(ranks_file: str, pattern: str) -> Codec:
     return _CODECS[ranks_file, pattern]
 
 
-def _blocks(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
+def _blocks(texts: pa.Array, most: int = 6_000_000) -> Iterator[list[str]]:
     """The texts in runs of about ``most`` characters."""
     held, size = [], 0
     for t in texts:
