@@ -1,4 +1,6 @@
 """Registered queries: ``QUERIES`` by name, and ``ORACLES``, the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fieldloom.plans import accuracy, imagery, polygons, shapes, vectors  # noqa: F401
+from fieldloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
