@@ -85,11 +85,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
     Documents that the mix doesn't take are left out. ``n_chars`` follows the text where it is there."""
     nth = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(key[-1]))  # noqa: E731  tells rows apart that repeat doc_id and text
-    plan = mix_plan(docs, **how).select(F.col("doc_id").alias("__id"), "text_key", "size", "taken").select("*", nth("__id", "text_key").alias("__m"))
+    plan = mix_plan(docs, **how).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    plan = plan.select("*", nth("__id", "__hash").alias("__m"))
     left = docs.select("*", F.xxhash64("text").alias("__key")).select("*", nth("doc_id", "__key").alias("__nth"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("text_key")) & (F.col("__nth") == F.col("__m"))
-    joined = left.join(plan.where("taken > 0"), same)
-    full, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.pmod("taken", "size").cast("int")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")) & (F.col("__nth") == F.col("__m"))
+    joined = left.join(plan.where("__taken > 0"), same)
+    full, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.pmod("__taken", "__size").cast("int")
     repeats = F.when(full > 0, F.array_repeat(F.lit(-1), full)).otherwise(F.array().cast("array<int>"))
     rows = joined.select("*", F.explode(F.concat(repeats, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))).alias("__n"))
     cut = F.when(F.col("__n") < 0, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("__n"), F.lit(0))), " "))
