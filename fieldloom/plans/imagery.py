@@ -160,14 +160,14 @@ def sliding_tiles(spark, d):
 ZONAL = f"{fx.ZONES}, hit AS (SELECT fid, value FROM zones JOIN pixels ON col + 0.5 >= xmin AND col + 0.5 < xmax AND row + 0.5 >= ymin AND row + 0.5 < ymax), z AS (SELECT zones.fid, count(value) AS n_pixels, coalesce(avg(value), 0) AS mean FROM zones LEFT JOIN hit USING (fid) GROUP BY zones.fid)"
 
 
-@query("zonal_mean", f"WITH {ZONAL} SELECT fid, n_pixels, round(mean, 4) AS mean FROM z")
+@query("zonal_mean", f"WITH {ZONAL} SELECT fid, n_pixels, round(mean + 1e-9, 4) AS mean FROM z")
 def zonal_mean(spark, d):
-    return rasters.zonal_mean(fx.zones(spark, d), fx.pixel_grid(spark, d)).select("fid", "n_pixels", F.round("mean", 4).alias("mean"))
+    return rasters.zonal_mean(fx.zones(spark, d), fx.pixel_grid(spark, d)).select("fid", "n_pixels", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
 
 
-@query("zonal_mean_filter", f"WITH {ZONAL} SELECT fid, round(mean, 4) AS crop_fraction FROM z WHERE mean >= 0.1")
+@query("zonal_mean_filter", f"WITH {ZONAL} SELECT fid, round(mean + 1e-9, 4) AS crop_fraction FROM z WHERE mean >= 0.1")
 def zonal_mean_filter(spark, d):
-    return rasters.zonal_mean(fx.zones(spark, d), fx.pixel_grid(spark, d)).where("mean >= 0.1").select("fid", F.round("mean", 4).alias("crop_fraction"))
+    return rasters.zonal_mean(fx.zones(spark, d), fx.pixel_grid(spark, d)).where("mean >= 0.1").select("fid", F.round(F.col("mean") + 1e-9, 4).alias("crop_fraction"))
 
 
 @query(
