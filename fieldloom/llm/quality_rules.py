@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import checkpointed, fold, words
+from fieldloom.llm._common import bounded, checkpointed, fold, words
 
 #: Ratios that the rules bound from above, as SQL over the counts.
 RULES = {
@@ -112,8 +112,6 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float =
     cutoffs = safe_cutoffs(counts, labels, risk, delta)
     # One row of cutoffs for each stratum; strata have LEAST_CLEAN labelled texts each, and are counted before a broadcast.
     wide = checkpointed(cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff")))
-    from fieldloom.llm._common import bounded
-
     over = F.lit(False)
     for rule, ratio in RULES.items():
         over = over | F.coalesce(F.expr(ratio) > F.col(f"cut.{rule}"), F.lit(False))

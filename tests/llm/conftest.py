@@ -23,7 +23,7 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame(ODD, DOCS).repartition(3).checkpoint() if False else spark.createDataFrame(ODD, DOCS)
+    return spark.createDataFrame(ODD, DOCS)
 
 
 @pytest.fixture(scope="session")
