@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives the memory it has freed back to the system when its task ends.
+
+    Python workers outlive their tasks, and what they hold counts against the executor while other stages run."""
+
+    def task(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def bounded(small: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast where the counted size allows one; beyond it the join shuffles (and AQE splits hot keys)."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small

@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm._common import trimmed
+
 #: Words and bytes of a recursive query; bytes above which a word is long; entries of a cache's generation.
-CHUNK_WORDS, CHUNK_BYTES, LONG, CACHE = 40_000, 600_000, 256, 400_000
+CHUNK_WORDS, CHUNK_BYTES, LONG, CACHE = 40_000, 600_000, 256, 300_000
 
 ENCODE = """
 WITH RECURSIVE state(step, w, g, e, tok, nxt) AS (
@@ -96,6 +98,7 @@ class Codec:
         self._put("t", id=np.array([*rank.values()], np.int32), hex=[t.hex() for t in rank])
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM t")
         self.words, self.old_words, self.spans, self.old_spans = {}, {}, {}, {}
+        self.most = CACHE
 
     def _put(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
@@ -180,7 +183,7 @@ class Codec:
             n, ids, back = zip(*map(self.spans.__getitem__, spans), strict=True) if spans else ((), (), ())
             out.append((sum(n), ",".join(ids), b"".join(back)))
         for now, old in (("words", "old_words"), ("spans", "old_spans")):
-            if len(getattr(self, now)) > CACHE or sum(map(len, parts)) > 50_000_000:
+            if len(getattr(self, now)) > self.most or sum(map(len, parts)) > 50_000_000:
                 setattr(self, old, getattr(self, now))
                 setattr(self, now, {})
         return out
@@ -210,18 +213,21 @@ def _blocks(texts: pa.Array, most: int = 6_000_000) -> Iterator[list[str]]:
         yield held
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool = True, digests: bool = False, cache: int = CACHE) -> DataFrame:
     """The columns of ``docs`` except ``text``, ``n_tokens``, and, as asked for, ``ids`` (array) and digests of the ids and
-    of the text decoded from them. Clashing columns of the input give way to the new ones."""
+    of the text decoded from them. Clashing columns of the input give way to the new ones.
+
+    ``cache`` bounds a worker's memory: entries of each generation, of some 350 bytes; texts are taken in blocks of 20 characters an entry."""
     new = ["n_tokens", *(["ids"] if ids else []), *(["ids_sha256", "decoded_sha256"] if digests else [])]
     keep = [c for c in docs.columns if c not in {"text", *new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_file, pattern)
+        c.most = cache
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             at = 0
-            for block in _blocks(batch.column(len(keep))):
+            for block in _blocks(batch.column(len(keep)), 20 * cache):
                 done = c.run(block)
                 columns = [pa.array([x[0] for x in done], pa.int64())]
                 if ids:
@@ -234,7 +240,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool =
 
     kinds = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{n} {kinds[n]}" for n in new)])
-    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(trimmed(run), schema)
 
 
 def decode_documents(tokens: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
@@ -251,4 +257,4 @@ def decode_documents(tokens: DataFrame, ranks_file: str, pattern: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b.decode(errors="replace") for b in back])], names=[*keep, "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*keep).schema), "text string"])
-    return tokens.select(*keep).mapInArrow(run, schema)
+    return tokens.select(*keep).mapInArrow(trimmed(run), schema)

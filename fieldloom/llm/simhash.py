@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import bounded, checkpointed, components
+from fieldloom.llm._common import bounded, checkpointed, components, trimmed
 
 SEED, MAX_DISTANCE = 42, 3
 #: A half with more fingerprints than this is filed again by quarters.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SE
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], names=["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _ball(df: DataFrame, parts: list[tuple[int, int]], prefix: list[str]) -> DataFrame:

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import fold
+from fieldloom.llm._common import fold, trimmed
 
 LENGTH, DECAY, WINDOW = 3, 0.6, 20
-LANDMARKS, ROUNDS, CACHE = 128, 4, 150_000
+LANDMARKS, ROUNDS, CACHE = 128, 4, 80_000
 #: Labelled texts that are learnt from at most.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 _LETTERS = re.compile(r"[\W_]+")
@@ -279,9 +279,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel | None, keep: list[str
                 texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
                 scores = np.zeros(len(texts)) if model is None else model.text_scores(texts)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
+        if model is not None:
+            model.now, model.old = {}, {}
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "score double"])
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -295,8 +297,10 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
                 if model is not None:
                     batch = batch.filter(pa.array(model.text_scores([t or "" for t in batch.column(at).to_pylist()]) < threshold))
                 yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+        if model is not None:
+            model.now, model.old = {}, {}
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
