@@ -1,9 +1,10 @@
 """Operator 8: text scores of a hashed maximum-entropy language model with a class-factored softmax.
 
 ``P(word | context) = P(class | context) * P(word | class)``. A few most frequent words are a class each; every other
-word belongs to a class by the hash of its last characters. The first factor is a softmax over the
-classes, log-linear in hashed features of the context: the word before, the one before that, the pair of both,
-and the third and fourth last word as skip features. Frequent words have feature rows of their own, the rest
+word belongs to a class by the hash of its last characters. The first factor is itself the product of two softmaxes, over
+groups of classes and over the classes of the group, both log-linear in hashed features of the context: the word
+before, the one before that, the pair of both, and the third and fourth last word as skip features. So a token
+costs two short rows for each feature, not one entry for each class. Frequent words have feature rows of their own, the rest
 share rows by their endings. The second factor is the word's share of its class; the words that occur
 once in training give the share of unknown words (Good and Turing), as one event for each class.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +38,26 @@ HEAD, ROWED, SINGLE = 65_536, 2_048, 64
 #: Classes and feature rows of the endings of other words; rows of pairs.
 ENDINGS, ENDING_ROWS, PAIR_ROWS = 32, 1_024, 4_096
 #: Rounds of training, tokens of a minibatch, step size; rows of a block when weights are averaged; entries of the word cache.
-ROUNDS, MINIBATCH, RATE, BLOCK, CACHE = 2, 4_096, 0.25, 64, 300_000
+ROUNDS, MINIBATCH, RATE, BLOCK, CACHE = 2, 16_384, 0.25, 704, 300_000
 
 _WORDS = ROWED + ENDING_ROWS + 2  # and the end, and what stands before a text
 _START = _WORDS - 1
 #: Rows of the weights: words as the last, last but one, and skipped; pairs; the constant.
 _ROWS = 3 * _WORDS + PAIR_ROWS + 1
 CLASSES = SINGLE + ENDINGS
+#: Classes of a group, groups, and a feature's rows: one for the groups, one for the classes of each group.
+WIDE = 10
+GROUPS = -(-CLASSES // WIDE)
+_PER = GROUPS + 1
 _END = b"\n"  # no word holds it
 
 
-def _hash(word: bytes) -> int:
-    x = xxhash.xxh64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def _ending(word: bytes, n: int, modulus: int) -> int:
-    return xxhash.xxh32_intdigest(word[-n:]) % modulus
+def _endings(words: list[bytes], n: int, modulus: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, [w[-n:] for w in words]), dtype=np.int64, count=len(words)) % modulus
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -64,10 +69,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([_hash(w) for w in c], pa.int64()), pa.array([_ending(w, 2, ENDINGS) for w in c], pa.int32()), pa.array(list(c.values()), pa.int64())],
-                names=["h", "ending", "c"],
-            )
+            w = list(c)
+            return pa.RecordBatch.from_arrays([pa.array(_hashes(w)), pa.array(_endings(w, 2, ENDINGS).astype(np.int32)), pa.array(list(c.values()), pa.int64())], names=["h", "ending", "c"])
 
         held: Counter = Counter()
         for batch in batches:
@@ -106,21 +109,24 @@ class Vocabulary:
         """Numbers of the words; what they stand for is in the ``known_*`` arrays until the next call."""
         if len(self.number) > CACHE:
             self._clear()
-        fresh = [w for w in set(words) if w not in self.number]
-        if fresh:
-            h = np.array([_hash(w) for w in fresh], dtype=np.int64)
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            h = _hashes(fresh)
             at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
             inside = self.h[at] == h if len(self.h) else np.zeros(len(h), dtype=bool)
             rank = np.where(inside, self.rank[at] if len(self.h) else 0, 1 << 40)
-            row = np.where(rank < ROWED, rank, ROWED + np.array([_ending(w, 3, ENDING_ROWS) for w in fresh]))
+            row = np.where(rank < ROWED, rank, ROWED + _endings(fresh, 3, ENDING_ROWS))
             row = np.where(np.array([w == _END for w in fresh]), ROWED + ENDING_ROWS, row)
-            kind = np.where(rank < SINGLE, rank, SINGLE + np.array([_ending(w, 2, ENDINGS) for w in fresh]))
+            kind = np.where(rank < SINGLE, rank, SINGLE + _endings(fresh, 2, ENDINGS))
             c = np.where(inside, self.c[at] if len(self.h) else 0, -1)
             n = len(self.known_h)
             self.known_h, self.known_row = np.append(self.known_h, h), np.append(self.known_row, row)
             self.known_class, self.known_c = np.append(self.known_class, kind), np.append(self.known_c, c)
             self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+            found[missing] = [self.number[words[i]] for i in missing.tolist()]
+        return found
 
 
 def _features(row: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -133,33 +139,66 @@ def _features(row: np.ndarray, first: np.ndarray) -> np.ndarray:
 
     a, b = back(1), back(2)
     pair = (a * 40503 + b * 30029 + 7) % 65521 % PAIR_ROWS
-    return np.stack([a, _WORDS + b, 2 * _WORDS + back(3), 2 * _WORDS + back(4), 3 * _WORDS + pair], axis=1).astype(np.int32)
+    return np.stack([a, _WORDS + b, 2 * _WORDS + back(3), 2 * _WORDS + back(4), 3 * _WORDS + pair, np.full(n, _ROWS - 1)], axis=1).astype(np.int32)
+
+
+def _steps(features: np.ndarray, classes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two choices of each token: rows of the weights, and what was chosen."""
+    group, member = classes // WIDE, classes % WIDE
+    first = features * np.int32(_PER)
+    return [(first, group), (first + (1 + group[:, None]).astype(np.int32), member)]
 
 
-def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    x = weights[features[:, 0]]
-    for k in range(1, features.shape[1]):
-        x += weights[features[:, k]]
-    x += weights[-1]
+def _exponents(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    places = np.ascontiguousarray(rows.T, dtype=np.intp)
+    x = np.take(weights, places[0], axis=0, mode="clip")  # every row exists; this mode needs no buffer
+    row = np.empty_like(x)
+    for at in places[1:]:
+        np.take(weights, at, axis=0, mode="clip", out=row)
+        x += row
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
     return x
 
 
+def log_chances(weights: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log probability of each token's class."""
+    out = np.zeros(len(classes))
+    for rows, chosen in _steps(features, classes):
+        x = _exponents(weights, rows)
+        out += x[np.arange(len(chosen)), chosen] - np.log(np.exp(x).sum(axis=1))
+    return out
+
+
 def climb(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, features: np.ndarray, classes: np.ndarray) -> None:
     """One AdaGrad step (a scale for each row) on a minibatch, in place."""
-    error = -np.exp(_log_softmax(weights, features))
-    error[np.arange(len(classes)), classes] += 1
-    flat = features.ravel()
-    order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-    rows, times = flat[order][starts], np.diff(np.append(starts, len(flat)))
-    gradient = np.add.reduceat(error[order // features.shape[1]], starts, axis=0)
-    rows, times = np.append(rows, len(weights) - 1), np.append(times, len(classes))
-    gradient = np.concatenate([gradient, error.sum(axis=0, keepdims=True)])
-    squares[rows] += (gradient * gradient).mean(axis=1)
-    weights[rows] += (RATE / np.sqrt(squares[rows] + 1e-8))[:, None] * gradient * np.float32(0.5)
-    uses[rows] += times
+    errors, places = [], []
+    for rows, chosen in _steps(features, classes):
+        error = np.exp(_exponents(weights, rows))
+        error /= -error.sum(axis=1, keepdims=True)
+        error[np.arange(len(chosen)), chosen] += 1
+        errors.append(np.ascontiguousarray(error.T, dtype=np.float64))
+        places.append(rows.T.ravel())
+    flat, n = np.concatenate(places).astype(np.intp), features.shape[1]
+    times = np.bincount(flat, minlength=len(weights))
+    used = np.flatnonzero(times)
+    sums = (np.bincount(flat, weights=np.concatenate([np.tile(e[k], n) for e in errors]), minlength=len(weights))[used] for k in range(WIDE))
+    gradient = np.stack(list(sums), axis=1)
+    squares[used] += (gradient * gradient).mean(axis=1)
+    weights[used] += (RATE * 0.5 / np.sqrt(squares[used] + 1e-8))[:, None] * gradient
+    uses[used] += times[used]
+
+
+def first_weights(totals: np.ndarray) -> np.ndarray:
+    """Weights that give the classes their shares of the training tokens, whatever the context."""
+    share = np.full(GROUPS * WIDE, 1e-12)
+    share[:CLASSES] = np.where((np.arange(CLASSES) >= SINGLE) | (totals > 0), (totals + 0.5) / (totals.sum() + 0.5 * CLASSES), 1e-12)
+    share = share.reshape(GROUPS, WIDE)
+    out = np.zeros((_ROWS * _PER, WIDE), dtype=np.float32)
+    constant = out[(_ROWS - 1) * _PER :]
+    constant[0] = np.log(1e-12)
+    constant[0, :GROUPS] = np.log(share.sum(axis=1))
+    constant[1:] = np.log(share / share.sum(axis=1, keepdims=True))
+    return out
 
 
 def _flat(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +206,7 @@ def _flat(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray
     cut = [tokens(t) for t in texts]
     size = np.array([len(c) for c in cut], dtype=np.int64)
     first = np.repeat(np.cumsum(size) - size, size)
-    return vocabulary.numbers([w for c in cut for w in c]), size, first
+    return vocabulary.numbers(list(chain.from_iterable(cut))), size, first
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -211,7 +250,7 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, sq
     halfway = climbed.groupBy("block", F.pmod("task", F.lit(groups)).alias("g")).applyInArrow(add, "block int, sums binary")
     out, out_squares = weights.copy(), squares.copy()
     for row in halfway.groupBy("block").applyInArrow(add, "block int, sums binary").collect():  # the weights, of fixed size
-        sums = np.frombuffer(row["sums"], dtype=np.float32).reshape(-1, CLASSES + 2)
+        sums = np.frombuffer(row["sums"], dtype=np.float32).reshape(-1, WIDE + 2)
         used = sums[:, -1] > 0
         at = row["block"] + np.flatnonzero(used)
         out[at] = sums[used, :-2] / sums[used, -1:]
@@ -237,10 +276,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # Shares of unknown words. A class without training words holds nothing else; a word that is a class is never unknown.
     unknown = np.where(total > 0, np.clip(of_class[:, 1] / np.maximum(total, 1), 1 / (total + 1), 0.9), 1.0)
     unknown[:SINGLE] = 0.0
-    weights = np.zeros((_ROWS, CLASSES), dtype=np.float32)
-    squares = np.full(_ROWS, 1e-2)
-    possible = np.where(np.arange(CLASSES) < SINGLE, total > 0, True)
-    weights[-1] = np.where(possible, np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES)), -40)
+    weights = first_weights(total)
+    squares = np.full(len(weights), 1e-2)
     if n:
         for turn in range(ROUNDS):
             part = training.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == turn)
@@ -255,8 +292,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             row, kind, c, h = (x[number] for x in (vocabulary.known_row, vocabulary.known_class, vocabulary.known_c, vocabulary.known_h))
             features, log_class = _features(row, first), np.empty(len(number))
             for at in range(0, len(number), MINIBATCH):
-                logs = _log_softmax(weights, features[at : at + MINIBATCH])
-                log_class[at : at + MINIBATCH] = logs[np.arange(len(logs)), kind[at : at + MINIBATCH]]
+                log_class[at : at + MINIBATCH] = log_chances(weights, features[at : at + MINIBATCH], kind[at : at + MINIBATCH])
             log_class *= 1 / np.log(10)
             inside = c >= 0
             share = np.where(kind < SINGLE, 0.0, log_known[kind] + np.log10(np.maximum(c, 1)) - log_total[kind])
