@@ -169,7 +169,9 @@ class Chain:
         """Mean probability of the lines being good, weighted by their bytes."""
         if not texts:
             return np.zeros(0)
-        bins, size, n_lines = line_features(texts)
+        return self.mean(*line_features(texts))
+
+    def mean(self, bins: np.ndarray, size: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
         p, _, _ = self.marginals(bins, n_lines)
         of = np.cumsum(n_lines) - n_lines
         weight = size + 1.0
@@ -186,7 +188,9 @@ def train(texts: list[bytes], good: list[int], steps: int = 150, rate: float = 0
     if not (y == 1).any() or not (y == 0).any():
         return None
     chain = Chain()
-    bins, size, n_lines = line_features(texts)
+    # In blocks, as the working arrays hold a few words of memory for each byte of text.
+    parts = [line_features(texts[k : k + 128]) for k in range(0, len(texts), 128)]
+    bins, size, n_lines = (np.concatenate(x) for x in zip(*parts, strict=True))
     label = np.repeat(y, n_lines)
     # Both labels weigh the same, and a long text no more than a short one by its number of lines.
     weight = np.repeat(np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / n_lines, n_lines) * len(y)
@@ -205,7 +209,7 @@ def train(texts: list[bytes], good: list[int], steps: int = 150, rate: float = 0
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             value += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    q = np.clip(chain.quality(texts), 1e-6, 1 - 1e-6)
+    q = np.clip(chain.mean(bins, size, n_lines), 1e-6, 1 - 1e-6)
     chain.slope, chain.shift = _logistic(np.log(q / (1 - q)), y)
     return chain
 
