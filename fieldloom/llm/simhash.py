@@ -17,12 +17,12 @@ shingle have one shingle, all of their words; equal rows share a component; no r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm._common import bounded, checkpointed, components, trimmed
@@ -49,18 +49,17 @@ def text_fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long; ``fp1`` and so on for further seeds) for every row of ``docs(doc_id, text)``."""
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) for every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            values = [np.array([text_fingerprint(t, shingle, s) for t in texts], dtype=np.uint64).view(np.int64) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], names=["doc_id", *names])
+            values = np.array([text_fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _ball(df: DataFrame, parts: list[tuple[int, int]], prefix: list[str]) -> DataFrame:
@@ -132,67 +131,142 @@ def _classes(first: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(member.join(least, "c").select("fp", "component_id"))
 
 
-#: Of the wide fingerprints that stand for a similarity: the seeds of both halves, and the differing bits allowed
-#: (128 x the angle between shingle counts at a Jaccard similarity of 0.8, over pi, and one standard deviation).
-WIDE_SEEDS, WIDE_DISTANCE = (SEED, SEED + 1), 23
+#: Of the pipeline's stage: texts are near copies where the Jaccard similarity of their shingle sets is 4/5 or more.
+NEAR, OF = 4, 5
+#: Texts sampled for the order of shingles, and the most shingles that order puts last.
+ORDER_SAMPLE, ORDER_LAST = 4_000, 100_000
+#: Buckets by which a text's shingles are counted, a power of two.
+BUCKETS = 256
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc_id, component_id``: groups of texts whose 128-bit fingerprints say a similarity of about 0.8 or more.
+def shingle_set(text: bytes, shingle: int = 5, seed: int = SEED) -> np.ndarray:
+    """The sorted distinct XXH64 hashes (as signed longs) of a UTF-8 text's shingles; none for a text without words."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, dtype=np.int64)
+    parts = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, seed) for s in parts], dtype=np.uint64).view(np.int64))
 
-    Four segments of 16 bits of the first half are filed with a ball of one bit, which meets 74 % of the pairs at
-    0.8, 94 % at 0.9 and all but a few above 0.95; what meets is verified by the whole distance. A segment's cell is
-    settled in one pass over sorted rows, which returns a spanning forest. Cells grow with the corpus (by 17 / 65536 of
-    it), so that beyond some tens of millions of distinct texts wider segments should be chosen."""
-    marked = checkpointed(fingerprints(docs, shingle, WIDE_SEEDS))
-    # A wide fingerprint goes by the least doc_id of those that have it.
-    first = checkpointed(marked.groupBy("fp", "fp1").agg(F.min("doc_id").alias("first"))).select("fp", "fp1", F.coalesce("first", F.lit(-(1 << 63))).alias("node"))
-    filed = _ball(first, [(0, 16), (16, 16), (32, 16), (48, 16)], ["fp1", "node"]).repartition("key").sortWithinPartitions("key", "node")
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+def _sets(docs: DataFrame, columns: str, row: Callable[[np.ndarray], tuple], shingle: int) -> DataFrame:
+    """``doc_id, node`` (a hash of the shingle set) and what ``row`` makes of the set, for every row of ``docs(doc_id, text)``."""
+    names = ["doc_id", "node", *(c.split()[0] for c in columns.split(", "))]
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    types = [kinds[c.split()[1]] for c in columns.split(", ")]
 
-        def cell(part: tuple) -> list[tuple[int, int]]:
-            own, a, b, node = part
-            return _wide_forest(a.view(np.uint64), b.view(np.uint64), node) if own.any() and len(node) > 1 else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [shingle_set(t or b"", shingle) for t in batch.column(1).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                made = zip(*(row(s) for s in sets), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *(pa.array(list(v), t) for v, t in zip(made, types, strict=True))], names=names)
 
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "own", "fp", "fp1", "node")]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
-            links: list[tuple[int, int]] = []
-            for x, y in zip(np.append(0, cuts[:-1]), cuts, strict=False):
-                links += cell(tuple(c[x:y] for c in columns[1:]))
-            held = [c[cuts[-1] :] for c in columns] if len(cuts) else columns
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
-        if held is not None and (links := cell(tuple(held[1:]))):
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
-
-    links = filed.select("key", "own", "fp", "fp1", "node").mapInArrow(settle, "a long, b long")
-    comp = checkpointed(components(links))
-    classes = first.join(comp, "node", "left").select("fp", "fp1", F.coalesce("component", "node").alias("component_id"))
-    classes = checkpointed(classes)
-    return marked.join(bounded(classes, classes.count()), ["fp", "fp1"]).select("doc_id", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(trimmed(run), f"doc_id long, node long, {columns}")
+
+
+def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that a sample of fixed size has more than once, the commonest last.
+
+    They only put shingles in an order that all texts share; any such order is exact, and one with rare ones first leaves few to compare."""
+    some = docs.orderBy(F.xxhash64(F.lit("order"), "doc_id")).limit(ORDER_SAMPLE)
+    counted = _sets(some, "s array<long>", lambda s: (s,), shingle).dropDuplicates(["node"]).select(F.explode("s").alias("key")).groupBy("key").count()
+    # At most ORDER_LAST rows reach the driver.
+    rows = counted.where("count > 1").orderBy(F.desc("count"), "key").limit(ORDER_LAST).collect()
+    return np.array([r["key"] for r in reversed(rows)], dtype=np.int64)
+
+
+def _near(docs: DataFrame, ids: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """``a, b``: those of the distinct ``pairs(a, b)`` of nodes whose shingle sets are near; ``ids(node, first, n, sketch)`` says where their texts are.
+
+    Two sets differ in as many shingles at least as their counts by bucket do (cut off or not), which spares most pairs
+    the look at their whole sets."""
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (2, 4))
+            n = b.column(3).to_numpy() + b.column(5).to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array((NEAR + OF) * np.abs(x - y).sum(axis=1, dtype=np.int64) <= (OF - NEAR) * n))
+
+    of = lambda k: ids.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+    sketched = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "na", "sb", "nb")
+    pairs = checkpointed(sketched.mapInArrow(hopeful, "a long, b long"))
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select("node", "first"))
+    n = wanted.count()
+    of_id = bounded(wanted.select(F.col("first").alias("__id")).distinct(), n)
+    texts = docs.join(of_id, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    # Ids may repeat, so that a set goes by its own hash.
+    sets = _sets(texts, "s array<long>", lambda s: (s,), shingle).join(bounded(wanted.select("node"), n), "node", "left_semi")
+    sets = checkpointed(sets.select("node", "s"))
+    if sets.count() > sets.select("node").distinct().count():
+        sets = checkpointed(sets.dropDuplicates(["node"]))
+    both = (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
+    )
+    # o / (n - o) >= NEAR / OF
+    return checkpointed(both.where((NEAR + OF) * F.col("o") >= NEAR * F.col("n")).select("a", "b"))
 
 
-def _wide_forest(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the fingerprints of a cell that lie within the wide distance."""
-    out, left = [], np.arange(len(node))
-    if len(node) <= 512:  # most cells hold no link, which one look at all of it tells
-        near = np.bitwise_count(a[:, None] ^ a) + np.bitwise_count(b[:, None] ^ b) <= WIDE_DISTANCE
-        left = np.flatnonzero(near.sum(axis=1) > 1)
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(a[left] ^ a[x]) + np.bitwise_count(b[left] ^ b[x]) <= WIDE_DISTANCE
-            if near.any():
-                found, left = left[near], left[~near]
-                out += [(int(node[x]), int(node[y])) for y in found]
-                queue += list(found)
-    return out
+def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``doc_id, component_id``: groups of texts linked by a Jaccard similarity of 0.8 or more of their shingle sets.
+
+    Exact by prefix filtering: of two such sets, each under one order of all shingles, the first n - ceil(0.8 n) + 1 of
+    each have a shingle in common. Texts are filed under these; the first of those that meet is compared with each
+    other one, and then each two that no link has joined by then, by their whole sets."""
+    last = _common_shingles(docs, shingle)
+    by_key = np.argsort(last)
+    known = last[by_key]
+
+    def prefix(s: np.ndarray) -> tuple:
+        n = len(s)
+        sketch = np.minimum(np.bincount(s & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+        if not n:
+            return 0, sketch, s
+        rank = np.zeros(n, dtype=np.int64)  # what isn't known to be common comes first
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            rank = np.where(known[at] == s, by_key[at] + 1, 0)
+        return n, sketch, s[np.lexsort((s, rank))[: n - -(-NEAR * n // OF) + 1]]
+
+    marked = checkpointed(_sets(docs, "n long, sketch binary, prefix array<long>", prefix, shingle))
+    # Equal sets are one node, and what only one node is filed under goes right after the only shuffle of what is filed.
+    first = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    filed = marked.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    cell = Window.partitionBy("key")
+    shared = filed.select("*", F.min("node").over(cell).alias("low"), F.max("node").over(cell).alias("high")).where("low <> high")
+    met = checkpointed(shared.dropDuplicates(["key", "node"]))
+    hubs = met.where("node = low").select("key", F.struct("node", "n", "at").alias("hub"))
+    met = met.drop("high", "low").join(hubs, "key")
+
+    def enough(x: str, y: str) -> Column:
+        """Of two texts filed under a shingle: lengths and ranks allow a similarity of 0.8, if it is the first that they share."""
+        n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}at"), F.col(f"{y}at")
+        alike = OF * F.least(n, m) >= NEAR * F.greatest(n, m)
+        return alike & ((NEAR + OF) * F.least(n - i, m - j) >= NEAR * (n + m))
+
+    stars = met.where((F.col("node") != F.col("hub.node")) & enough("", "hub.")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = _near(docs, first, stars, shingle)
+    found = checkpointed(components(links))
+    rest = met.where(F.col("node") != F.col("hub.node")).join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    mixed = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rest = checkpointed(rest.join(mixed, "key", "left_semi"))
+    x, y = rest.alias("x"), rest.alias("y")
+    crossing = (
+        x.join(y, F.col("x.key") == F.col("y.key"))
+        .where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & enough("x.", "y."))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    )
+    links = links.unionByName(_near(docs, first, crossing, shingle))
+    comp = checkpointed(components(links))
+    member = first.join(comp, "node", "left").select("node", F.coalesce("first", F.lit(-(1 << 63))).alias("first"), F.coalesce("component", "node").alias("c"))
+    least = member.groupBy("c").agg(F.min("first").alias("component_id"))
+    classes = checkpointed(member.join(least, "c").select("node", "component_id"))
+    return marked.select("doc_id", "node").join(bounded(classes, classes.count()), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:

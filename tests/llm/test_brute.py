@@ -98,6 +98,45 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, direct):
     assert {f: found.get(f, f) for f in fps} == root
 
 
+@pytest.mark.parametrize("known", [0, 100_000])
+def test_similar_documents_are_all_pairs_at_the_threshold(spark, monkeypatch, known):
+    from fieldloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "ORDER_LAST", known)
+    rng = random.Random(known)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(60)]
+    texts = ["", None, "one two", "One  two", "one two three four five"]
+    for k in range(30):
+        base = passage * (k % 2) + [word() for _ in range(rng.choice([20, 100, 400]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w[: len(w) - rng.randint(0, len(w) // 6)]))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root, close = list(range(len(texts))), 0
+    edges = []
+    for a in range(len(texts)):
+        for b in range(a):
+            o, u = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if 5 * o >= 4 * u:
+                edges.append((a, b))
+                close += 100 * o < 85 * u
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(root[a], root[b])
+            changed |= root[a] != root[b]
+            root[a] = root[b] = least
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert close > 10 and {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(root))
+
+
 def edits(a, b):
     if abs(len(a) - len(b)) > 1:
         return 2
