@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -42,12 +44,49 @@ def silhouettes(vectors: DataFrame, ks: list[int], dims: int, seed: int = 42, ro
     return vectors.sparkSession.createDataFrame([(k, float(s), k == best) for k, s in found], "k int, silhouette double, chosen boolean")
 
 
-def spectral(vectors: DataFrame, k: int, least: float = 0.0, neighbours: int = 10, rows: int = 2_000) -> DataFrame:
-    """``vec_id, cluster`` by power iteration on a nearest-neighbour graph of a sample of bounded size."""
-    some = sample(vectors.where(valid(F.col("embedding"))), "vec_id", rows)
-    near = nearest(some, some, neighbours).where(F.col("cosine") > least).where("vec_id <> other_id")
-    graph = near.select(F.least("vec_id", "other_id").alias("src"), F.greatest("vec_id", "other_id").alias("dst"), "cosine").groupBy("src", "dst").agg(F.max("cosine").alias("weight"))
-    return PowerIterationClustering(k=k, maxIter=10, weightCol="weight").assignClusters(graph).select(F.col("id").alias("vec_id"), F.col("cluster"))
+def _neighbours(some: DataFrame, k: int) -> DataFrame:
+    """``vec_id, other_id, cosine`` of the k nearest others (the lesser id of equals) among a sample of bounded size, which every task holds."""
+    rows = some.select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
+    x = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for block in np.array_split(at, -(-len(at) // 128) or 1):
+                cosine = np.round(x[block] @ x.T, 6)
+                cosine[ids[block][:, None] == ids] = -np.inf
+                for i, c in zip(block, cosine, strict=True):
+                    least = np.partition(c, -k)[-k] if len(c) > k else -np.inf
+                    near = np.flatnonzero((c >= least) & (c > -np.inf))
+                    near = near[np.lexsort((ids[near], -c[near]))][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[i])), pa.array(ids[near]), pa.array(c[near])], names=["vec_id", "other_id", "cosine"])
+
+    spark = some.sparkSession
+    return spark.range(0, len(ids), 1, spark.sparkContext.defaultParallelism).mapInArrow(run, "vec_id long, other_id long, cosine double")
+
+
+def spectral(vectors: DataFrame, k: int, least: float = 0.0, neighbours: int = 10, rows: int = 50_000) -> DataFrame:
+    """``vec_id, cluster`` from 1 (0 for vectors that aren't valid): power iteration on a nearest-neighbour graph of a hash sample, then the nearest centroid (the lesser of equals) for every row."""
+    ok = F.coalesce(valid(F.col("embedding")), F.lit(False))
+    some = sample(vectors.where(ok), "vec_id", rows)
+    near = _neighbours(some, neighbours).where(F.col("cosine") > least)
+    graph = near.select(F.least("vec_id", "other_id").alias("src"), F.greatest("vec_id", "other_id").alias("dst"), "cosine").groupBy("src", "dst").agg(F.max("cosine").alias("weight")).cache()
+    try:
+        if graph.isEmpty():
+            return vectors.select("vec_id", F.when(ok, 1).otherwise(0).alias("cluster"))
+        groups = PowerIterationClustering(k=k, maxIter=10, weightCol="weight").assignClusters(graph).select(F.col("id").alias("vec_id"), F.col("cluster").alias("c"))
+        # k rows for each component.
+        means = centroids(some.join(groups, "vec_id"), "c").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("m")).orderBy("c").collect()
+    finally:
+        graph.unpersist()
+    gaps = []
+    for r in means:
+        at = F.array(*(F.lit(float(m["mean"])) for m in r["m"]))
+        gap = F.aggregate(F.zip_with("embedding", at, lambda x, y: F.pow(x.cast("double") - y, 2)), F.lit(0.0), lambda s, x: s + x)
+        gaps.append(F.struct(gap.alias("d"), F.lit(r["c"] + 1).cast("int").alias("c")))
+    return vectors.select("vec_id", F.when(ok, F.array_min(F.array(*gaps))["c"]).otherwise(0).alias("cluster"))
 
 
 def dot(a: Column, b: Column) -> Column:

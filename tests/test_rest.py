@@ -74,3 +74,15 @@ def test_pipeline(spark):
     assert score(out, out).first()["f1"] == 1
     with pytest.raises(ValueError):
         delineate(vectors, FieldConfig(), 6)
+
+
+def test_spectral_assigns_every_vector(spark):
+    from fieldloom.operators import cluster
+
+    rows = [(k, [float(10 * (k % 2)) + 0.01 * (k % 7), 1.0 + 10 * ((k + 1) % 2), 0.01 * (k % 5)]) for k in range(200)]
+    rows += [(200, [0.0, 0.0, 0.0]), (201, [float("nan"), 1.0, 1.0]), (202, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = cluster.spectral(vectors, 2, rows=60).collect()
+    of = {r["vec_id"]: r["cluster"] for r in found}
+    assert len(found) == 203 and of[200] == of[201] == of[202] == 0
+    assert {of[k] for k in range(200)} <= {1, 2} and all(of[k] == of[k % 2] for k in range(200))
