@@ -33,14 +33,15 @@ def cluster(vectors: DataFrame, k: int, dims: int, seed: int = 42, fit_rows: int
 
 
 def silhouettes(vectors: DataFrame, ks: list[int], dims: int, seed: int = 42, rows: int = 5_000) -> DataFrame:
-    """``k, silhouette, chosen`` for each candidate (squared Euclidean distance); the first of the highest is chosen."""
+    """``k, silhouette, chosen`` for each candidate (squared Euclidean distance); the first of the highest is chosen. Candidates that aren't fewer than the rows have none."""
     good = sample(vectors.where(valid(F.col("embedding"))), "vec_id", rows).select("vec_id", array_to_vector("embedding").alias("x"))
     reduced = PCA(k=dims, inputCol="x", outputCol="features").fit(good).transform(good).select("features").cache()
     try:
-        found = [(k, ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed).fit(reduced).transform(reduced))) for k in ks]
+        n = reduced.count()
+        found = [(k, ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed).fit(reduced).transform(reduced))) for k in ks if k < n]
     finally:
         reduced.unpersist()
-    best = max(found, key=lambda x: x[1])[0]
+    best = max(found, key=lambda x: x[1])[0] if found else None
     return vectors.sparkSession.createDataFrame([(k, float(s), k == best) for k, s in found], "k int, silhouette double, chosen boolean")
 
 

@@ -54,7 +54,7 @@ def embedding_clusters(spark, d):
 
 @query("auto_k")
 def auto_k(spark, d):
-    return cluster.silhouettes(_vectors(spark, d), [5, 10, 15, 20], 16)
+    return cluster.silhouettes(_vectors(spark, d), [5, 10, 15, 20, 30, 50], 16)
 
 
 @query("spectral_clusters")

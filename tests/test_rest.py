@@ -86,3 +86,14 @@ def test_spectral_assigns_every_vector(spark):
     of = {r["vec_id"]: r["cluster"] for r in found}
     assert len(found) == 203 and of[200] == of[201] == of[202] == 0
     assert {of[k] for k in range(200)} <= {1, 2} and all(of[k] == of[k % 2] for k in range(200))
+
+
+def test_auto_k_tries_the_whole_list_below_the_rows(spark, tmp_path):
+    import random
+
+    from fieldloom.plans import QUERIES
+
+    rng = random.Random(1)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(20)]) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [r["k"] for r in QUERIES["auto_k"](spark, str(tmp_path)).collect()] == [5, 10, 15, 20, 30]
