@@ -30,6 +30,8 @@ HOME, OTHERS = 2048, 8192
 MAX_PIVOTS, PER_PIVOT = 1024, 4096
 #: Slack for the bounds, which are computed in floating point.
 SLACK = 1e-6
+#: Pivots no further apart than this aren't told apart by the plane between them.
+TWINS = 1e-3
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -131,7 +133,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                     own = d.argmin(axis=1)
                     near = d.min(axis=1)
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (d**2 - near[:, None] ** 2) / (2 * between[own])
+                        # Of pivots that are one direction, up to rounding, the quotient says nothing.
+                        plane = np.where(between[own] > TWINS, (d**2 - near[:, None] ** 2) / (2 * between[own]), -np.inf)
                     guest = (d <= radius + r) & ~(plane > r + SLACK)
                     guest[np.arange(len(own)), own] = True
                     row, cell = np.nonzero(guest)

@@ -194,6 +194,22 @@ def test_embedding_links(spark):
         assert (r["n_links"], r["component_id"]) == (near[r["vec_id"]].sum(), root[r["vec_id"]])
 
 
+def test_embedding_links_of_proportional_vectors(spark, monkeypatch):
+    from fieldloom.llm import embedding_join
+
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=8)
+    noisy = one + rng.normal(scale=0.12, size=(120, 8))
+    x = np.concatenate([one * rng.uniform(0.1, 9, size=(120, 1)), noisy])
+    for name, value in (("PER_PIVOT", 16), ("HOME", 16), ("OTHERS", 64)):
+        monkeypatch.setattr(embedding_join, name, value)
+    rows = embedding_join.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert {r["vec_id"]: r["n_links"] for r in rows} == dict(enumerate(near.sum(axis=1)))
+
+
 def test_tokens_as_tiktoken():
     import public_tokenizers as p
     import tiktoken
