@@ -16,22 +16,30 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 500_000
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir``; a local session without that setting gets a temporary one.
+
+    On a cluster such a folder would be out of the executors' sight, so that one without the setting is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldloom-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and cut its lineage there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldloom-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the cluster's checkpoint folder and read it from there."""
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldloom-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -56,6 +64,21 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return task
 
 
+def sliced(batches: Iterator, column: int, most: int, rows: int = 1 << 30) -> Iterator:
+    """The batches in slices whose strings or bytes in a column add up to ``most`` bytes at most, or single rows, and of ``rows`` rows at most."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right"))
+            end = min(max(begin + 1, end), begin + rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def bounded(small: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast where the counted size allows one; beyond it the join shuffles (and AQE splits hot keys)."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small

@@ -1,331 +1,484 @@
-"""Operator 8: text scores of a hashed maximum-entropy language model with a class-factored softmax.
-
-``P(word | context) = P(class | context) * P(word | class)``. A few most frequent words are a class each; every other
-word belongs to a class by the hash of its last characters. The first factor is itself the product of two softmaxes, over
-groups of classes and over the classes of the group, both log-linear in hashed features of the context: the word
-before, the one before that, the pair of both, and the third and fourth last word as skip features. So a token
-costs two short rows for each feature, not one entry for each class. Frequent words have feature rows of their own, the rest
-share rows by their endings. The second factor is the word's share of its class; the words that occur
-once in training give the share of unknown words (Good and Turing), as one event for each class.
-
-Everything is learnt from all training texts. Word counts are summed by two shuffled aggregations. Weights are
-trained in ``ROUNDS`` rounds over disjoint parts of the corpus: each task climbs the gradient
-(AdaGrad, minibatches) over its part from the current weights, and its rows are averaged with those of the others, each
-weighted by how often it was used, in two levels of aggregation so that no group grows with the number of tasks.
-Scoring is one pass in sparse numpy batches; counts of the ``HEAD`` most frequent words travel with the tasks,
-those of all others are met by a shuffled join (no word that is left can be a hot key).
+"""Operator 8: text scores of a hashed maximum-entropy model with a class-factored softmax.
+
+``P(token | context) = P(class | context) * P(leaf | class, context) * share of the token in its leaf``.
+
+Leaves stand in one order, by how words end, in a tree of ``BRANCH`` children a node; a class is the parent of
+``BRANCH`` leaves. The three quarters of the leaves are one frequent word each, so that for these the second factor is a softmax over
+words; the rest are ranges of endings, in which rarer words have their share by count, and the words that occur once in
+training give the share of unknown words (Good and Turing), as one event for each leaf. Each step down the tree is a softmax that is
+log-linear in hashed features of the context, joined with the node: the last word, the one before, the pair of both, and the third and fourth
+last word as skip features. Higher steps use all of them, lower ones the nearest words (``FEATURES``).
+
+The tree grows with the training vocabulary (``shape``): more distinct words give it more levels, and each level gives
+it eight times the leaves, the feature rows and the words whose counts are at hand.
+
+Everything is learnt from all training texts, in passes that each read what the last one wrote:
+
+1.  Words are counted by two aggregations; the most frequent ones make the tree.
+2.  One pass turns every text into the leaves of its tokens, and sums what the counts at hand can give; tokens of other words go to a
+    shuffled join with the counts (no word that is left can be a hot key).
+3.  Weights climb in ``ROUNDS`` rounds over disjoint parts of the corpus: each task climbs the gradient (AdaGrad,
+    minibatches) over its part from the current weights, and its rows are averaged with those of the others, each weighted by
+    how often it was used, in two levels of aggregation so that no group grows with the number of tasks.
+4.  Scoring sums the steps of every token, in numpy batches.
 
 Words are told apart by a 64-bit hash. Edge cases: null and empty texts are one end token; repeated rows score each; with no
-training text all words are unknown; no rows give no rows; other columns are ignored.
+training text all words are unknown; no rows give no rows; other columns are ignored; null ids score like others. A very long
+text is worked on whole, at some 20 bytes of a worker's memory for each of its own.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import checkpointed, fold
+from fieldloom.llm._common import SPACES, checkpointed, fold, sliced, stored, trimmed
+
+#: Children of a node; fewest and most levels of a tree.
+BRANCH, BITS, LEAST_LEVELS, MOST_LEVELS = 8, 3, 2, 6
+#: Words with counts at hand for each leaf, and at most; feature rows of a table for each leaf.
+HEAD, MOST_HEAD, ROWS = 64, 1 << 20, 4
+#: Features of the context for each level from the root; the last entry holds for all further ones. Letters are how far back
+#: the words stand (a: the last word); "ab" is the pair.
+FEATURES = [("a", "b", "ab", "c", "d"), ("a", "b", "ab", "c"), ("a", "b"), ("a",)]
+#: Rounds of training, tokens of a minibatch and of a task, step size, first sum of squares.
+ROUNDS, MINIBATCH, TASK_TOKENS, RATE, SQUARE = 2, 32_768, 1_000_000, 0.3, 1.0
+#: Rows of a block when weights are averaged; bytes of text that are taken at a time; distinct words that a counting task holds.
+BLOCK, PIECE, HELD = 1_024, 1 << 20, 1_500_000
+
+_BASE = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), list(SPACES.encode()))
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The end of a text: no word has this hash but by chance.
+END = -0x6A09E667F3BCC909
+_END_TAIL = 10
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, b, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _words(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, hash and tail of each word of lower-cased bytes that end with a blank."""
+    edge = np.flatnonzero(np.diff(blank, prepend=True))  # words begin and stop here in turn
+    begins, stops = edge[::2], edge[1::2]
+    power, back = _powers(max(PIECE, 1 << int(len(data)).bit_length() if len(data) > PIECE else 0))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(_MIX[data] * power[: len(data)])])
+    hashed = (sums[stops] - sums[begins]) * back[begins]
+    hashed ^= hashed >> np.uint64(32)
+    tail = np.zeros(len(begins), dtype=np.int64)
+    for k in range(4):
+        tail |= np.where(stops - 1 - k >= begins, data[np.maximum(stops - 1 - k, 0)], 0).astype(np.int64) << (24 - 8 * k)
+    return begins, hashed.view(np.int64), tail
+
+
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and tails (the last four bytes, the last one highest) of all tokens in a row, and the number of tokens of each text.
+
+    A word's hash is the sum of its lower-cased bytes' values times powers by place, modulo 2**64."""
+    size = np.array([len(t or b"") for t in texts], dtype=np.int64)
+    data = _LOWER[np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", dtype=np.uint8)]
+    blank = _BLANK[data]
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        if end < len(data):  # cut behind a blank
+            inner = np.flatnonzero(blank[at:end])
+            end = at + int(inner[-1]) + 1 if len(inner) else end + int(blank[end:].argmax()) + 1
+        begins, hashed, tail = _words(data[at:end], blank[at:end])
+        parts.append((begins + at, hashed, tail))
+        at = end
+    begins, hashed, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
+    n = np.diff(np.searchsorted(begins, np.concatenate([[0], np.cumsum(size + 1)])))
+    at = np.arange(len(begins)) + np.repeat(np.arange(len(texts)), n)
+    h, t = np.full(len(begins) + len(texts), END, dtype=np.int64), np.full(len(begins) + len(texts), _END_TAIL, dtype=np.int64)
+    h[at], t[at] = hashed, tail
+    return h, t, n + 1
 
-#: The most frequent words: with counts at hand; with feature rows; with classes of their own. Bounds of what is broadcast.
-HEAD, ROWED, SINGLE = 65_536, 2_048, 64
-#: Classes and feature rows of the endings of other words; rows of pairs.
-ENDINGS, ENDING_ROWS, PAIR_ROWS = 32, 1_024, 4_096
-#: Rounds of training, tokens of a minibatch, step size; rows of a block when weights are averaged; entries of the word cache.
-ROUNDS, MINIBATCH, RATE, BLOCK, CACHE = 2, 16_384, 0.25, 704, 300_000
 
-_WORDS = ROWED + ENDING_ROWS + 2  # and the end, and what stands before a text
-_START = _WORDS - 1
-#: Rows of the weights: words as the last, last but one, and skipped; pairs; the constant.
-_ROWS = 3 * _WORDS + PAIR_ROWS + 1
-CLASSES = SINGLE + ENDINGS
-#: Classes of a group, groups, and a feature's rows: one for the groups, one for the classes of each group.
-WIDE = 10
-GROUPS = -(-CLASSES // WIDE)
-_PER = GROUPS + 1
-_END = b"\n"  # no word holds it
+def count_words(docs: DataFrame) -> DataFrame:
+    """``h, tail, c`` for every distinct token of ``docs(text)``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, t, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h)
+            first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+            return h[order][first], t[order][first], np.add.reduceat(c[order], first)
+
+        def rows(x: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["h", "tail", "c"])
+
+        for part in sliced(batches, 0, PIECE):
+            h, t, _ = tokens(part.column(0).to_pylist())
+            held.append((h, t, np.ones(len(h), dtype=np.int64)))
+            n += len(h)
+            if n > HELD:
+                x = summed()
+                if len(x[0]) > HELD // 2:
+                    yield rows(x)
+                    held, n = [], 0
+                else:
+                    held, n = [x], len(x[0])
+        if held:
+            yield rows(summed())
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
+    counted = docs.select(F.col("text").cast("binary")).mapInArrow(trimmed(run), "h long, tail long, c long")
+    return counted.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def _endings(words: list[bytes], n: int, modulus: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh32_intdigest, [w[-n:] for w in words]), dtype=np.int64, count=len(words)) % modulus
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a model with a number of levels, and where its rows of weights lie."""
 
+    levels: int
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), _END]
+    @property
+    def leaves(self) -> int:
+        return BRANCH**self.levels
 
+    @property
+    def head(self) -> int:
+        return min(HEAD * self.leaves, MOST_HEAD)
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``h, ending, c`` for every distinct token of ``docs(text)``."""
+    @property
+    def table_bits(self) -> int:
+        return int(ROWS * self.leaves).bit_length() - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> pa.RecordBatch:
-            w = list(c)
-            return pa.RecordBatch.from_arrays([pa.array(_hashes(w)), pa.array(_endings(w, 2, ENDINGS).astype(np.int32)), pa.array(list(c.values()), pa.int64())], names=["h", "ending", "c"])
+    def tables(self) -> list[tuple[int, str, int, bool]]:
+        """``level, feature, rows, hashed`` of each table of rows; the feature "" is the node's own row."""
+        out = []
+        for d in range(self.levels):
+            for f in (*FEATURES[min(d, len(FEATURES) - 1)], ""):
+                whole = BRANCH**d if f == "" else (self.leaves + 1) * BRANCH**d
+                hashed = f == "ab" or whole > 1 << self.table_bits and f != ""
+                out.append((d, f, 1 << self.table_bits if hashed else whole, hashed))
+        return out
+
+    def rows(self) -> int:
+        return sum(n for _, _, n, _ in self.tables())
 
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens(text.as_py()))
-                if len(held) > CACHE:
-                    yield rows(held)
-                    held = Counter()
-        if held:
-            yield rows(held)
 
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(run, "h long, ending int, c long")
-    return counted.groupBy("h").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
+def shape(vocabulary: int) -> Shape:
+    """The model for a number of distinct training words: two levels for every three that would hold them all."""
+    return Shape(min(MOST_LEVELS, max(LEAST_LEVELS, int(np.log(max(1, vocabulary)) / np.log(BRANCH) * 2 / 3))))
 
 
 class Vocabulary:
-    """What a task knows of words: hash, feature row, class and (for the head) count, filled in as words come."""
-
-    def __init__(self, head_h: np.ndarray, head_c: np.ndarray) -> None:
-        order = np.argsort(head_h)
-        self.h, self.c, self.rank = head_h[order], head_c[order], order
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.known_h = self.known_row = self.known_class = self.known_c = np.zeros(0, dtype=np.int64)
-
-    def __getstate__(self):
-        return {"h": self.h, "c": self.c, "rank": self.rank}
-
-    def __setstate__(self, state) -> None:
-        self.__dict__ |= state
-        self._clear()
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words; what they stand for is in the ``known_*`` arrays until the next call."""
-        if len(self.number) > CACHE:
-            self._clear()
-        found = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            fresh = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
-            h = _hashes(fresh)
-            at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
-            inside = self.h[at] == h if len(self.h) else np.zeros(len(h), dtype=bool)
-            rank = np.where(inside, self.rank[at] if len(self.h) else 0, 1 << 40)
-            row = np.where(rank < ROWED, rank, ROWED + _endings(fresh, 3, ENDING_ROWS))
-            row = np.where(np.array([w == _END for w in fresh]), ROWED + ENDING_ROWS, row)
-            kind = np.where(rank < SINGLE, rank, SINGLE + _endings(fresh, 2, ENDINGS))
-            c = np.where(inside, self.c[at] if len(self.h) else 0, -1)
-            n = len(self.known_h)
-            self.known_h, self.known_row = np.append(self.known_h, h), np.append(self.known_row, row)
-            self.known_class, self.known_c = np.append(self.known_class, kind), np.append(self.known_c, c)
-            self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-            found[missing] = [self.number[words[i]] for i in missing.tolist()]
-        return found
-
-
-def _features(row: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Feature rows of each token's context; ``first`` is the place of the first token of its text."""
-    n = len(row)
-    at = np.arange(n)
-
-    def back(k: int) -> np.ndarray:
-        return np.where(at - k >= first, row[np.maximum(at - k, 0)], _START)
-
-    a, b = back(1), back(2)
-    pair = (a * 40503 + b * 30029 + 7) % 65521 % PAIR_ROWS
-    return np.stack([a, _WORDS + b, 2 * _WORDS + back(3), 2 * _WORDS + back(4), 3 * _WORDS + pair, np.full(n, _ROWS - 1)], axis=1).astype(np.int32)
-
-
-def _steps(features: np.ndarray, classes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The two choices of each token: rows of the weights, and what was chosen."""
-    group, member = classes // WIDE, classes % WIDE
-    first = features * np.int32(_PER)
-    return [(first, group), (first + (1 + group[:, None]).astype(np.int32), member)]
-
-
-def _exponents(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    places = np.ascontiguousarray(rows.T, dtype=np.intp)
-    x = np.take(weights, places[0], axis=0, mode="clip")  # every row exists; this mode needs no buffer
-    row = np.empty_like(x)
-    for at in places[1:]:
-        np.take(weights, at, axis=0, mode="clip", out=row)
-        x += row
-    x -= x.max(axis=1, keepdims=True)
+    """The words whose counts are at hand, and the tree's leaves: single words and ranges of tails."""
+
+    def __init__(self, sizes: Shape, h: np.ndarray, tail: np.ndarray, c: np.ndarray) -> None:
+        order = np.lexsort((h, -c))
+        single = np.zeros(len(h), dtype=bool)
+        single[order[: sizes.leaves * 3 // 4]] = True
+        # Ranges begin at tails of the words that are left, each with an equal part of their counts.
+        rest = np.flatnonzero(~single)[np.argsort(tail[~single], kind="stable")]
+        begins = np.zeros(1, dtype=np.int64)
+        if len(rest):
+            until = np.cumsum(c[rest])
+            wanted = sizes.leaves - sizes.leaves * 3 // 4
+            begins = np.unique(np.append(0, tail[rest][np.searchsorted(until, until[-1] * np.arange(1, wanted) / wanted)]))
+        # All leaves in the order of their tails; of one tail, the range first.
+        ones = np.flatnonzero(single)
+        ones = ones[np.lexsort((h[ones], tail[ones]))]
+        at = np.argsort(np.concatenate([begins * 2, tail[ones] * 2 + 1]), kind="stable")
+        place = np.empty(len(at), dtype=np.int64)
+        place[at] = np.arange(len(at))
+        self.range_begins, self.range_leaf = begins, place[: len(begins)]
+        leaf = self.ranged(tail)
+        leaf[ones] = place[len(begins) :]
+        by_hash = np.argsort(h)
+        self.h, self.c, self.leaf = h[by_hash], c[by_hash], leaf[by_hash]
+        self.single = np.zeros(sizes.leaves, dtype=bool)
+        self.single[place[len(begins) :]] = True
+
+    def ranged(self, tail: np.ndarray) -> np.ndarray:
+        return self.range_leaf[np.searchsorted(self.range_begins, tail, side="right") - 1]
+
+    def look_up(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each token and its training count, -1 where that isn't at hand."""
+        if not len(self.h):
+            return self.ranged(tail), np.full(len(h), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        inside = self.h[at] == h
+        leaf, c = self.leaf[at], np.where(inside, self.c[at], -1)
+        out = np.flatnonzero(~inside)
+        leaf[out] = self.ranged(tail[out])
+        return leaf, c
+
+
+def contexts(sizes: Shape, leaves: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """What each feature sees of each token's context; ``n`` tells how many tokens each text has."""
+    at, first = np.arange(len(leaves)), np.repeat(np.cumsum(n) - n, n)
+    small, start = leaves.astype(np.uint32), np.uint32(sizes.leaves)
+    seen = {name: np.where(at - k >= first, small[np.maximum(at - k, 0)], start) for k, name in enumerate("abcd", 1)}
+    seen["ab"] = seen["a"] * np.uint32(0x85EBCA6B) + seen["b"] * np.uint32(0xC2B2AE35)
+    return seen
+
+
+def _steps(sizes: Shape, seen: dict[str, np.ndarray], leaves: np.ndarray, part: slice) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """For each level: the rows of weights that add up for each token of the part, and the child that was taken."""
+    leaves = leaves[part]
+    small = leaves.astype(np.uint32)
+    out = [([], (leaves >> BITS * (sizes.levels - 1 - d)) & (BRANCH - 1)) for d in range(sizes.levels)]
+    begin, shift = 0, np.uint32(32 - sizes.table_bits)
+    for d, f, n, hashed in sizes.tables():
+        node = small >> np.uint32(BITS * (sizes.levels - d))
+        if f == "":
+            row = node
+        elif hashed:
+            row = (seen[f][part] * np.uint32(0x9E3779B1) + node * np.uint32(0x7FEB352D) + np.uint32(0x68E31DA4)) >> shift
+        else:
+            row = seen[f][part] * np.uint32(BRANCH**d) + node
+        out[d][0].append(row.astype(np.intp) + begin)
+        begin += n
+    return out
+
+
+def _chances(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of the children, one row for each child (sums over few children are cheap that way)."""
+    x = np.take(weights, rows[0], axis=0, mode="clip")  # every row exists; this mode needs no buffer
+    more = np.empty_like(x)
+    for at in rows[1:]:
+        np.take(weights, at, axis=0, mode="clip", out=more)
+        x += more
+    x = x.T.copy()
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
     return x
 
 
-def log_chances(weights: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Log probability of each token's class."""
-    out = np.zeros(len(classes))
-    for rows, chosen in _steps(features, classes):
-        x = _exponents(weights, rows)
-        out += x[np.arange(len(chosen)), chosen] - np.log(np.exp(x).sum(axis=1))
-    return out
+def log_chances(sizes: Shape, weights: np.ndarray, seen: dict[str, np.ndarray], leaves: np.ndarray, part: slice) -> np.ndarray:
+    """Log probability of the leaf of each token of the part."""
+    out = 1.0
+    for rows, chosen in _steps(sizes, seen, leaves, part):
+        out = out * np.maximum(_chances(weights, rows)[chosen, np.arange(len(chosen))].astype(np.float64), 1e-30)
+    return np.log(out)
 
 
-def climb(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, features: np.ndarray, classes: np.ndarray) -> None:
+def climb(sizes: Shape, weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, seen: dict[str, np.ndarray], leaves: np.ndarray, part: slice) -> None:
     """One AdaGrad step (a scale for each row) on a minibatch, in place."""
-    errors, places = [], []
-    for rows, chosen in _steps(features, classes):
-        error = np.exp(_exponents(weights, rows))
-        error /= -error.sum(axis=1, keepdims=True)
-        error[np.arange(len(chosen)), chosen] += 1
-        errors.append(np.ascontiguousarray(error.T, dtype=np.float64))
-        places.append(rows.T.ravel())
-    flat, n = np.concatenate(places).astype(np.intp), features.shape[1]
-    times = np.bincount(flat, minlength=len(weights))
-    used = np.flatnonzero(times)
-    sums = (np.bincount(flat, weights=np.concatenate([np.tile(e[k], n) for e in errors]), minlength=len(weights))[used] for k in range(WIDE))
-    gradient = np.stack(list(sums), axis=1)
-    squares[used] += (gradient * gradient).mean(axis=1)
-    weights[used] += (RATE * 0.5 / np.sqrt(squares[used] + 1e-8))[:, None] * gradient
-    uses[used] += times[used]
-
-
-def first_weights(totals: np.ndarray) -> np.ndarray:
-    """Weights that give the classes their shares of the training tokens, whatever the context."""
-    share = np.full(GROUPS * WIDE, 1e-12)
-    share[:CLASSES] = np.where((np.arange(CLASSES) >= SINGLE) | (totals > 0), (totals + 0.5) / (totals.sum() + 0.5 * CLASSES), 1e-12)
-    share = share.reshape(GROUPS, WIDE)
-    out = np.zeros((_ROWS * _PER, WIDE), dtype=np.float32)
-    constant = out[(_ROWS - 1) * _PER :]
-    constant[0] = np.log(1e-12)
-    constant[0, :GROUPS] = np.log(share.sum(axis=1))
-    constant[1:] = np.log(share / share.sum(axis=1, keepdims=True))
+    changes, tables = [], sizes.tables()
+    begin = k = 0
+    for rows, chosen in _steps(sizes, seen, leaves, part):
+        error = -_chances(weights, rows).astype(np.float64)
+        error[chosen, np.arange(len(chosen))] += 1
+        for row in rows:
+            n = tables[k][2]
+            local, gradient = row - begin, np.empty((BRANCH, n))
+            for g, e in zip(gradient, error, strict=True):
+                g[:] = np.bincount(local, weights=e, minlength=n)
+            changes.append((slice(begin, begin + n), gradient, np.bincount(local, minlength=n)))
+            begin, k = begin + n, k + 1
+    for at, gradient, times in changes:
+        squares[at] += (gradient * gradient).mean(axis=0)
+        gradient *= RATE / np.sqrt(squares[at])
+        weights[at] += gradient.T
+        uses[at] += times
+
+
+def first_weights(sizes: Shape, totals: np.ndarray) -> np.ndarray:
+    """Weights that give the leaves their shares of the training tokens, whatever the context; a leaf that nothing can be in has next to none."""
+    share = totals.astype(np.float64) + 1e-9
+    out = np.zeros((sizes.rows(), BRANCH), dtype=np.float32)
+    begin = 0
+    for d, f, n, _ in sizes.tables():
+        if f == "":
+            children = share.reshape(n, BRANCH, -1).sum(axis=2)
+            out[begin : begin + n] = np.log(children / children.sum(axis=1, keepdims=True))
+        begin += n
     return out
 
 
-def _flat(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all tokens of the texts in a row, the number of tokens of each, and each token's first place of its text."""
-    cut = [tokens(t) for t in texts]
-    size = np.array([len(c) for c in cut], dtype=np.int64)
-    first = np.repeat(np.cumsum(size) - size, size)
-    return vocabulary.numbers(list(chain.from_iterable(cut))), size, first
+def _leaf_type(sizes: Shape) -> type:
+    return np.uint16 if sizes.leaves <= 1 << 16 else np.uint32
+
+
+def _read(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All leaves of a column of texts in a row, and the number of tokens of each."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), dtype=kind).astype(np.int64), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def number_texts(docs: DataFrame, vocabulary: Vocabulary, sizes: Shape, log_base: float) -> DataFrame:
+    """For every row of ``docs(doc_id, text)`` the leaves of its tokens, sums over those whose counts are at hand, and hash and leaf of the others."""
+    kind = _leaf_type(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, 1, PIECE):
+            h, tail, n = tokens(part.column(1).to_pylist())
+            leaf, c = vocabulary.look_up(h, tail)
+            inside = c >= 0
+            begins = np.cumsum(n) - n
+            sums = lambda x: pa.array(np.add.reduceat(x, begins))
+            outside = np.flatnonzero(~inside)
+            offsets = pa.array(np.append(0, np.cumsum(np.add.reduceat((~inside).astype(np.int64), begins))), pa.int32())
+            places = np.append(0, np.cumsum(n)).astype(np.int32) * np.int32(np.dtype(kind).itemsize)
+            leaves = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(leaf.astype(kind).tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), pa.array(n), sums(inside.astype(np.int64)), sums(np.where(inside, np.log10(np.maximum(c, 0) + 1.0) - log_base, 0.0)),
+                    sums(np.where(inside, np.log10(np.maximum(c, 1)), 0.0)), leaves,
+                    pa.ListArray.from_arrays(offsets, pa.array(h[outside])), pa.ListArray.from_arrays(offsets, pa.array(leaf[outside].astype(np.int32))),
+                ],
+                names=["doc_id", "n_tokens", "known", "base", "log_c", "leaves", "h", "leaf"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_tokens long, known long, base double, log_c double, leaves binary, h array<long>, leaf array<int>")
+
 
+def leaf_totals(numbered: DataFrame, sizes: Shape) -> np.ndarray:
+    """Training tokens of each leaf."""
+    kind = _leaf_type(sizes)
 
-def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of the batches, of about a million bytes of text."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        held = begin = 0
-        for k, t in enumerate(texts):
-            held += len(t or b"")
-            if held > 1_000_000 or k == len(texts) - 1:
-                yield batch.slice(begin, k + 1 - begin), texts[begin : k + 1]
-                held, begin = 0, k + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sizes.leaves, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_read(batch.column(0), kind)[0], minlength=sizes.leaves)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["leaf", "n"])
+
+    return _by_leaf(numbered.select("leaves").mapInArrow(run, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")), sizes)
+
+
+def _by_leaf(rows: DataFrame, sizes: Shape) -> np.ndarray:
+    """``rows(leaf, n)``, one for a leaf at most, as an array."""
+    found, out = rows.toArrow(), np.zeros(sizes.leaves)
+    out[found["leaf"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
-def train_round(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def train_round(numbered: DataFrame, sizes: Shape, weights: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights after each task climbed over its texts, averaged by use; and the mean of the squares."""
+    kind = _leaf_type(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         w, s, uses = weights.copy(), squares.copy(), np.zeros(len(weights))
-        for _, texts in _pieces(batches, 0):
-            number, _, first = _flat(texts, vocabulary)
-            features, classes = _features(vocabulary.known_row[number], first), vocabulary.known_class[number]
-            for at in range(0, len(number), MINIBATCH):
-                climb(w, s, uses, features[at : at + MINIBATCH], classes[at : at + MINIBATCH])
-        both = np.concatenate([w * uses[:, None], (s * uses)[:, None], uses[:, None]], axis=1).astype(np.float64)
-        blocks = [k for k in range(0, len(w), BLOCK) if uses[k : k + BLOCK].any()]
+        for batch in sliced(batches, 0, PIECE):
+            leaves, n = _read(batch.column(0), kind)
+            seen = contexts(sizes, leaves, n)
+            for at in range(0, len(leaves), MINIBATCH):
+                climb(sizes, w, s, uses, seen, leaves, slice(at, at + MINIBATCH))
         task = TaskContext.get().partitionId()
-        for k in blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([both[k : k + BLOCK].astype(np.float32).tobytes()])], names=["block", "task", "sums"])
+        for k in range(0, len(w), BLOCK):
+            used = np.flatnonzero(uses[k : k + BLOCK])
+            if len(used):
+                at = used + k
+                sums = np.concatenate([w[at] * uses[at, None], (s[at] * uses[at])[:, None], uses[at, None]], axis=1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([used.astype(np.uint16).tobytes()]), pa.array([sums.tobytes()])], names=["block", "task", "used", "sums"])
 
     def add(found: pa.Table) -> pa.Table:
-        total = np.zeros(1)
-        for x in found["sums"]:
-            total = total + np.frombuffer(x.as_py(), dtype=np.float32).astype(np.float64)
-        return pa.table({"block": found["block"].slice(0, 1).cast(pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()])})
-
-    climbed = docs.select(F.col("text").cast("binary")).mapInArrow(run, "block int, task int, sums binary")
-    groups = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
-    halfway = climbed.groupBy("block", F.pmod("task", F.lit(groups)).alias("g")).applyInArrow(add, "block int, sums binary")
+        total = np.zeros((BLOCK, BRANCH + 2))
+        for used, x in zip(found["used"], found["sums"], strict=True):
+            total[np.frombuffer(used.as_py(), dtype=np.uint16)] += np.frombuffer(x.as_py(), dtype=np.float32).reshape(-1, BRANCH + 2)
+        used = np.flatnonzero(total[:, -1])
+        return pa.table({"block": found["block"].slice(0, 1).cast(pa.int32()), "used": pa.array([used.astype(np.uint16).tobytes()]), "sums": pa.array([total[used].astype(np.float32).tobytes()])})
+
+    climbed = numbered.select("leaves").mapInArrow(trimmed(run), "block int, task int, used binary, sums binary")
+    groups = max(1, int(numbered.rdd.getNumPartitions() ** 0.5))
+    to = "block int, used binary, sums binary"
+    halfway = climbed.groupBy("block", F.pmod("task", F.lit(groups)).alias("g")).applyInArrow(add, to)
     out, out_squares = weights.copy(), squares.copy()
-    for row in halfway.groupBy("block").applyInArrow(add, "block int, sums binary").collect():  # the weights, of fixed size
-        sums = np.frombuffer(row["sums"], dtype=np.float32).reshape(-1, WIDE + 2)
-        used = sums[:, -1] > 0
-        at = row["block"] + np.flatnonzero(used)
-        out[at] = sums[used, :-2] / sums[used, -1:]
-        out_squares[at] = sums[used, -2] / sums[used, -1]
+    averaged = halfway.groupBy("block").applyInArrow(add, to).toArrow()  # the weights, whose number the shape bounds
+    for block, used, x in zip(*(averaged[k] for k in ("block", "used", "sums")), strict=True):
+        at = block.as_py() + np.frombuffer(used.as_py(), dtype=np.uint16).astype(np.int64)
+        sums = np.frombuffer(x.as_py(), dtype=np.float32).reshape(-1, BRANCH + 2)
+        out[at], out_squares[at] = sums[:, :-2] / sums[:, -1:], sums[:, -2] / sums[:, -1]
     return out, out_squares
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs(doc_id, text)``."""
-    rest = fold(F.col("doc_id"), 7)
-    training = docs.where(rest != 2)
-    counts = checkpointed(count_words(training))
+    counts = checkpointed(count_words(docs.where(fold(F.col("doc_id"), 7) != 2)))
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(size["n"] or 0), int(size["v"])
-    head = counts.orderBy(F.col("c").desc(), "h").limit(HEAD).collect()  # HEAD rows at most
-    vocabulary = Vocabulary(np.array([r["h"] for r in head], dtype=np.int64), np.array([r["c"] for r in head], dtype=np.int64))
-    of_class = np.zeros((CLASSES, 2))
-    of_class[: min(SINGLE, len(head)), 0] = [r["c"] for r in head[:SINGLE]]
-    singles = [r["h"] for r in head[:SINGLE]]
-    for r in counts.where(~F.col("h").isin(singles)).groupBy("ending").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect():
-        of_class[SINGLE + r["ending"]] = r["n"], r["once"]
-    total = of_class[:, 0]
-    # Shares of unknown words. A class without training words holds nothing else; a word that is a class is never unknown.
-    unknown = np.where(total > 0, np.clip(of_class[:, 1] / np.maximum(total, 1), 1 / (total + 1), 0.9), 1.0)
-    unknown[:SINGLE] = 0.0
-    weights = first_weights(total)
-    squares = np.full(len(weights), 1e-2)
+    sizes, log_base = shape(v), float(np.log10(n + v + 1))
+    # The most frequent words: all above the least count whose words are no more than the head holds. A histogram tells it.
+    step = F.floor(F.log2("c") * 8).cast("int")
+    least, held = None, 0
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 8 x 64 rows at most
+        held += row["count"]
+        if held > sizes.head:
+            break
+        least = row["step"]
+    head = (counts.where(step >= least) if least is not None else counts.limit(0)).toArrow()
+    vocabulary = Vocabulary(sizes, *(head[k].to_numpy() for k in ("h", "tail", "c")))
+    numbered = stored(
+        number_texts(docs, vocabulary, sizes, log_base).withColumn("held_out", fold(F.col("doc_id"), 7) == 2).withColumn("row", F.monotonically_increasing_id())
+    )
+    left = numbered.select("row", "held_out", F.inline(F.arrays_zip("h", "leaf"))).join(counts.select("h", "c"), "h", "left")
+    found = checkpointed(
+        left.groupBy("row").agg(
+            F.count("c").alias("t_known"),
+            F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(log_base)).alias("t_base"),
+            F.sum(F.coalesce(F.log10("c"), F.lit(0.0))).alias("t_log_c"),
+            F.collect_list(F.when(F.col("c").isNull(), F.col("leaf"))).alias("unknown"),
+            F.collect_list(F.when((F.col("c") == 1) & ~F.col("held_out"), F.col("leaf"))).alias("once"),
+        )
+    )
+    training = numbered.where("not held_out")
+    total = leaf_totals(training, sizes)
+    once = _by_leaf(found.select(F.explode("once").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")), sizes)
+    once += np.bincount(vocabulary.leaf[vocabulary.c == 1], minlength=sizes.leaves)
+    # Shares of unknown words. A leaf without training words holds nothing else; a word that is a leaf is never unknown.
+    unknown = np.where(total > 0, np.clip(once / np.maximum(total, 1), 1 / (total + 1), 0.9), 1.0)
+    unknown[vocabulary.single] = 0.0
+    weights = first_weights(sizes, total + np.isin(np.arange(sizes.leaves), vocabulary.range_leaf) * 0.5)
+    squares = np.full(len(weights), SQUARE)
     if n:
+        tasks = max(1, n // ROUNDS // TASK_TOKENS)
         for turn in range(ROUNDS):
-            part = training.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == turn)
-            weights, squares = train_round(part, vocabulary, weights, squares)
-    log_total, log_unknown, log_known = (np.log10(np.maximum(x, 1e-300)) for x in (total, unknown, 1 - unknown))
-    log_base = float(np.log10(n + v + 1))
-    weights = weights.astype(np.float32)
+            part = training.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "n_tokens"), F.lit(ROUNDS)) == turn)
+            weights, squares = train_round(part.coalesce(tasks), sizes, weights, squares)
+    with np.errstate(divide="ignore"):
+        # What a token adds besides its steps: known words 1 / total (and their log c, which is summed already).
+        of_known = np.where(total > 0, np.log10(np.maximum(1 - unknown, 1e-300)) - np.log10(np.maximum(total, 1)), 0.0)
+        of_unknown = np.log10(np.maximum(unknown, 1e-300)) - of_known
+    kind, names = _leaf_type(sizes), ["row", "doc_id", "held_out", "n_tokens", "known", "base", "log_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _pieces(batches, 1):
-            number, size, first = _flat(texts, vocabulary)
-            row, kind, c, h = (x[number] for x in (vocabulary.known_row, vocabulary.known_class, vocabulary.known_c, vocabulary.known_h))
-            features, log_class = _features(row, first), np.empty(len(number))
-            for at in range(0, len(number), MINIBATCH):
-                log_class[at : at + MINIBATCH] = log_chances(weights, features[at : at + MINIBATCH], kind[at : at + MINIBATCH])
-            log_class *= 1 / np.log(10)
-            inside = c >= 0
-            share = np.where(kind < SINGLE, 0.0, log_known[kind] + np.log10(np.maximum(c, 1)) - log_total[kind])
-            starts = np.cumsum(size) - size
-            sums = lambda x: np.add.reduceat(x, starts)
-            outside = np.flatnonzero(~inside)
-            ends = np.cumsum(sums(~inside).astype(np.int64))
-            offsets = pa.array(np.append(0, ends), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(size), pa.array(sums(inside.astype(np.int64))),
-                    pa.array(sums(np.where(inside, np.log10(np.maximum(c, 0) + 1.0) - log_base, 0.0))),
-                    pa.array(sums(log_class + np.where(inside, share, 0.0))),
-                    pa.ListArray.from_arrays(offsets, pa.array(h[outside])), pa.ListArray.from_arrays(offsets, pa.array(kind[outside].astype(np.int32))),
-                ],
-                names=["doc_id", "n_tokens", "known", "base", "model", "h", "kind"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    scanned = checkpointed(
-        rows.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, model double, h array<long>, kind array<int>").withColumn("row", F.monotonically_increasing_id())
-    )
-    left = scanned.select("row", F.inline(F.arrays_zip("h", "kind")))
-    met = left.join(counts.select("h", "c"), "h", "left")
-    constant = lambda x: F.element_at(F.array(*[F.lit(float(y)) for y in x]), F.col("kind") + 1)
-    known = F.col("c").isNotNull()
-    found = met.groupBy("row").agg(
-        F.sum(known.cast("long")).alias("t_known"),
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(log_base)).alias("t_base"),
-        F.sum(F.when(known, constant(log_known) + F.log10("c") - constant(log_total)).otherwise(constant(log_unknown))).alias("t_model"),
-    )
+        for batch in sliced(batches, 7, PIECE):
+            leaves, n_tokens = _read(batch.column(7), kind)
+            seen, chance = contexts(sizes, leaves, n_tokens), np.empty(len(leaves))
+            for at in range(0, len(leaves), MINIBATCH):
+                part = slice(at, at + MINIBATCH)
+                chance[part] = log_chances(sizes, weights, seen, leaves, part)
+            model = np.add.reduceat(chance / np.log(10) + of_known[leaves], np.cumsum(n_tokens) - n_tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(model)], names=[*names, "model"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [of_unknown[np.array(x, dtype=np.int64)].sum() if x else 0.0 for x in b.column(6).to_pylist()]
+            score = np.array(b.column(5).to_pylist(), dtype=np.float64) + np.array(more, dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    narrow = numbered.select(*names, "leaves").mapInArrow(trimmed(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, log_c double, model double")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scanned.drop("h", "kind").join(found, "row", "left").select(
-        "doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", (F.col("known") + zero("t_known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("t_base")).alias("base_score"), (F.col("model") + zero("t_model")).alias("score"),
+    out = narrow.join(found.drop("once"), "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("t_known")).alias("n_known"), (F.col("base") + zero("t_base")).alias("base_score"),
+        (F.col("model") + F.col("log_c") + zero("t_log_c")).alias("model"), "unknown",
     )
+    done = out.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
