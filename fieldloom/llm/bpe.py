@@ -4,8 +4,8 @@ A text is split by the pattern; each match is encoded on its own. Matches that a
 the same Python worker) hasn't met are gathered and encoded together by one recursive query: rows
 ``(word, position, token)`` join the merge table on a token and its right neighbour, every word's leftmost
 pair of least rank is contracted, and a word without a pair leaves the recursion. Decoding joins
-the ids to the byte strings and aggregates them in order. Results are kept by match in a cache of bounded
-size; a partition needs memory for a batch of texts, a chunk of words and that cache only.
+the ids to the byte strings and aggregates them in order. Results are kept by match, and by stretch between spaces, in a cache of
+bounded bytes; a partition needs memory for a block of texts, a chunk of words and that cache only.
 
 Words longer than ``LONG`` bytes would pile up a copy of their rows for each merge. They go through a
 second recursive query, keyed by position, which holds each position once and touches only the neighbours
@@ -18,6 +18,7 @@ strings are ordinary text; repeated rows are encoded each; no rows give no rows.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,10 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import trimmed
+from fieldloom.llm._common import sliced, trimmed
 
-#: Words and bytes of a recursive query; bytes above which a word is long; entries of a cache's generation.
-CHUNK_WORDS, CHUNK_BYTES, LONG, CACHE = 40_000, 600_000, 256, 300_000
+#: Words and bytes of a recursive query; bytes above which a word is long; bytes of a worker's cache, about.
+CHUNK_WORDS, CHUNK_BYTES, LONG, CACHE = 50_000, 800_000, 256, 400_000_000
+#: Characters of a match or piece that the cache keeps at most; of a line that is cut at its spaces.
+KEPT, LONG_LINE = 128, 100_000
+#: Fixed value: the pattern whose matches never hold white space behind another character. Texts are cut there before
+#: it is applied; with any other pattern each text is matched whole.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 ENCODE = """
 WITH RECURSIVE state(step, w, g, e, tok, nxt) AS (
@@ -47,8 +53,8 @@ WITH RECURSIVE state(step, w, g, e, tok, nxt) AS (
   ) b ON b.w = s.w
   WHERE s.g <> b.e
 )
-SELECT count(*), string_agg(tok, ',' ORDER BY g)
-FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) last USING (w, step)
+SELECT string_agg(tok, ',' ORDER BY g), string_agg(hex, '' ORDER BY g)
+FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) last USING (w, step) JOIN vocab ON id = tok
 GROUP BY w ORDER BY w
 """
 
@@ -71,7 +77,7 @@ WITH RECURSIVE state(g, e, prior, tok, nxt, best) USING KEY (g) AS (
     JOIN recurring.state r ON r.g IN (y.prior, y.g, z.g, z.e)
   ) t LEFT JOIN merges m ON m.l = t.tok AND m.r = t.nxt
 )
-SELECT count(*), string_agg(tok, ',' ORDER BY g) FROM state WHERE tok >= 0
+SELECT string_agg(tok, ',' ORDER BY g), string_agg(hex, '' ORDER BY g) FROM state JOIN vocab ON id = tok
 """
 
 DECODE = """
@@ -97,8 +103,28 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM t")
         self._put("t", id=np.array([*rank.values()], np.int32), hex=[t.hex() for t in rank])
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM t")
-        self.words, self.old_words, self.spans, self.old_spans = {}, {}, {}, {}
-        self.most = CACHE
+        # Matches never cross a border between other characters and white space where this is the pattern.
+        self.known_cuts = pattern == WORD_PATTERN
+        self.pieces = regex.compile(r"\s*\S+|\s+").findall
+        self.cache = CACHE
+        self.clear()
+
+    def close(self) -> None:
+        """Free what the codec holds; the process makes another one when it needs it."""
+        self.clear()
+        self.db.close()
+        for key in [k for k, v in _CODECS.items() if v is self]:
+            del _CODECS[key]
+
+    def clear(self) -> None:
+        """Forget all that was encoded before."""
+        # Numbers of matches and of pieces of texts, those with a space ahead and those without, and what the numbers stand for.
+        self.spaced: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.ids: list[str] = []
+        self.back: list[bytes] = []
+        self.old: tuple[dict[str, int], dict[str, int], list[str], list[bytes]] = ({}, {}, [], [])
+        self.held = 0
 
     def _put(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
@@ -111,8 +137,8 @@ class Codec:
         nxt[np.cumsum(size) - 1] = -1
         self._put("words", w=np.repeat(np.arange(len(words), dtype=np.int32), size), g=np.arange(n, dtype=np.int32), e=np.arange(1, n + 1, dtype=np.int32), tok=tok, nxt=nxt)
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, str]]:
-        """Tokens of each (non-empty) word: how many, and their ids joined by commas."""
+    def encode(self, words: list[bytes]) -> list[tuple[str, str]]:
+        """Of each (non-empty) word the ids joined by commas, and the bytes that they decode to, in hexadecimal."""
         out: list = [None] * len(words)
         chunk: list[int] = []
         held = 0
@@ -146,48 +172,125 @@ class Codec:
         found = iter(self.db.execute(DECODE).fetchall())
         return [bytes.fromhex(next(found)[0]) if n else b"" for n in size]
 
-    def _learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        for at in range(0, len(raw), CHUNK_WORDS):
-            part = self.encode(raw[at : at + CHUNK_WORDS])
-            numbers = np.array(",".join(ids for _, ids in part).split(","), dtype=np.int32)
-            back = self._decode(numbers, np.array([n for n, _ in part]))
-            self.words.update((w, (n, ids, b)) for w, (n, ids), b in zip(words[at : at + CHUNK_WORDS], part, back, strict=True))
-
-    def spans_of(self, text: str) -> list[str]:
-        """A text cut before each single space that follows a word; no match of the pattern crosses such a cut."""
-        if "  " in text or text.endswith(" "):
-            return [text] if text else []
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *(" " + x for x in rest)]
-
-    def run(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """For each text: its number of tokens, its ids joined by commas, and the decoded bytes."""
-        cut = [self.spans_of(t) for t in texts]
-        fresh = set().union(*cut).difference(self.spans)
-        parts: dict[str, list[str]] = {}
-        for s in fresh:
-            if s in self.old_spans:
-                self.spans[s] = self.old_spans[s]
+    def _of_old(self, names: dict[str, int], old: dict[str, int], wanted: set[str]) -> list[str]:
+        """Take what the generation before knows; the rest is returned."""
+        fresh = []
+        for p in wanted:
+            k = old.get(p)
+            if k is None:
+                fresh.append(p)
             else:
-                parts[s] = self.split(s)
-        need = set().union(*parts.values()).difference(self.words)
-        known = {w: self.old_words[w] for w in need if w in self.old_words}
-        self.words.update(known)
-        self._learn([w for w in need if w not in known])
-        for s, ws in parts.items():
-            found = [self.words[w] for w in ws]
-            self.spans[s] = found[0] if len(found) == 1 else (sum(x[0] for x in found), ",".join([x[1] for x in found]), b"".join([x[2] for x in found]))
-        out = []
-        for spans in cut:
-            n, ids, back = zip(*map(self.spans.__getitem__, spans), strict=True) if spans else ((), (), ())
-            out.append((sum(n), ",".join(ids), b"".join(back)))
-        for now, old in (("words", "old_words"), ("spans", "old_spans")):
-            if len(getattr(self, now)) > self.most or sum(map(len, parts)) > 50_000_000:
-                setattr(self, old, getattr(self, now))
-                setattr(self, now, {})
+                names[p] = len(self.ids)
+                self.ids.append(self.old[2][k])
+                self.back.append(self.old[3][k])
+        return fresh
+
+    def _file(self, spaced: set[str], bare: set[str]) -> None:
+        """Number pieces of texts, those with a space ahead and those without, and the matches that they hold."""
+        pieces = [(p, True) for p in self._of_old(self.spaced, self.old[0], spaced)] + [(p, False) for p in self._of_old(self.bare, self.old[1], bare)]
+        alone, parts, more = ([], []), [], (set(), set())
+        for p, ahead in pieces:
+            if p.isalpha() and self.known_cuts:
+                alone[not ahead].append(p)
+                continue
+            matches = self.split(" " + p if ahead else p)
+            keys = [(True, m[1:]) if m[0] == " " else (False, m) for m in matches]
+            parts.append((p, ahead, keys))
+            for space, m in keys:
+                if m not in (self.spaced if space else self.bare):
+                    more[not space].add(m)
+        for names, known, found, ahead in ((self.spaced, self.old[0], 0, " "), (self.bare, self.old[1], 1, "")):
+            words = list({*self._of_old(names, known, more[found]), *alone[found]})
+            raw = [(ahead + w).encode() for w in words]
+            for at in range(0, len(raw), CHUNK_WORDS):
+                done = self.encode(raw[at : at + CHUNK_WORDS])
+                names.update(zip(words[at : at + CHUNK_WORDS], range(len(self.ids), len(self.ids) + len(done)), strict=True))
+                self.ids += [ids for ids, _ in done]
+                self.back += [bytes.fromhex(h) for _, h in done]
+        for p, ahead, keys in parts:
+            if len(keys) > 1:
+                at = [(self.spaced if space else self.bare)[m] for space, m in keys]
+                (self.spaced if ahead else self.bare)[p] = len(self.ids)
+                self.ids.append(",".join([self.ids[k] for k in at]))
+                self.back.append(b"".join([self.back[k] for k in at]))
+        self.held = 330 * (len(self.spaced) + len(self.bare))
+
+    def _lines(self, text: str) -> list[list[str]] | None:
+        """The pieces of each line, the first one bare, the others with a space ahead; None where white space stands otherwise."""
+        if not self.known_cuts or not text or "  " in text:
+            return None
+        lines = text.split("\n")
+        if any([not x or len(x) > LONG_LINE or x[0].isspace() or x[-1].isspace() for x in lines]):
+            return None
+        cut = [x.split(" ") for x in lines]
+        return None if max([max(map(len, x)) for x in cut]) > KEPT else cut
+
+    def _numbers(self, lines: list[list[str]], spaced: set[str], bare: set[str]) -> list[int] | None:
+        """The pieces' numbers, with those of the line feeds between lines; or None, and what lacks a number is put down."""
+        out, whole = [], True
+        of_bare, of_spaced, feed = self.bare.get, self.spaced.get, self.bare.get("\n")
+        if feed is None:
+            bare.add("\n")
+        for k, line in enumerate(lines):
+            if k:
+                out.append(feed)
+                whole &= feed is not None
+            first = of_bare(line[0])
+            if first is None:
+                bare.add(line[0])
+                whole = False
+            out.append(first)
+            found = list(map(of_spaced, line[1:]))
+            if None in found:
+                whole = False
+                spaced.update([p for p, x in zip(line[1:], found, strict=True) if x is None])
+            out += found
+        return out if whole else None
+
+    def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its ids joined by commas, and the decoded bytes."""
+        cut = [self._lines(t) for t in texts]
+        spaced, bare = set(), set()
+        numbers = [c and self._numbers(c, spaced, bare) for c in cut]
+        self._file(spaced, bare)
+        numbers = [n or c and self._numbers(c, spaced, bare) for n, c in zip(numbers, cut, strict=True)]
+        out = [self._joined(n) if n else self._odd(t) if t else ("", b"") for n, t in zip(numbers, texts, strict=True)]
+        if self.held > self.cache // 2:
+            self._turn()
         return out
 
+    def _turn(self) -> None:
+        """Begin a generation of the cache; the last one is kept until the next."""
+        self.old = (self.spaced, self.bare, self.ids, self.back)
+        self.spaced, self.bare, self.ids, self.back, self.held = {}, {}, [], [], 0
+
+    def _joined(self, numbers: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(self.ids.__getitem__, numbers)), b"".join(map(self.back.__getitem__, numbers))
+
+    def _odd(self, text: str) -> tuple[str, bytes]:
+        """Ids and bytes of a text with white space of any kind, in stretches of bounded size."""
+        ids, back = [], []
+        held, size = [], 0
+        for p in [*(self.pieces(text) if self.known_cuts else [text]), None]:
+            if held and (p is None or size > CHUNK_BYTES):
+                matches = [self.split(x) for x in held]
+                words = list({m for ms in matches for m in ms if len(m) > KEPT or m not in self.bare})
+                of = {w: (i, bytes.fromhex(h)) for w, (i, h) in zip(words, self.encode([w.encode() for w in words]), strict=True)}
+                found = [of[m] if m in of else (self.ids[self.bare[m]], self.back[self.bare[m]]) for ms in matches for m in ms]
+                ids.append(",".join([x for x, _ in found]))
+                back.append(b"".join([y for _, y in found]))
+                for w, (i, b) in of.items():
+                    if len(w) <= KEPT:
+                        self.bare[w] = len(self.ids)
+                        self.ids.append(i)
+                        self.back.append(b)
+                self.held = 330 * (len(self.spaced) + len(self.bare))
+                held, size = [], 0
+            if p is not None:
+                held.append(p)
+                size += len(p)
+        return ",".join(ids), b"".join(back)
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -199,50 +302,49 @@ def codec(ranks_file: str, pattern: str) -> Codec:
     return _CODECS[ranks_file, pattern]
 
 
-def _blocks(texts: pa.Array, most: int = 6_000_000) -> Iterator[list[str]]:
-    """The texts in runs of about ``most`` characters."""
-    held, size = [], 0
-    for t in texts:
-        t = t.as_py() or ""
-        held.append(t)
-        size += len(t)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+#: Bytes of texts that are encoded together, but for longer texts.
+BLOCK_BYTES = 6_000_000
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool = True, digests: bool = False, cache: int = CACHE) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool = True, digests: bool = False, cache: int = CACHE, lasting: bool = True) -> DataFrame:
     """The columns of ``docs`` except ``text``, ``n_tokens``, and, as asked for, ``ids`` (array) and digests of the ids and
     of the text decoded from them. Clashing columns of the input give way to the new ones.
 
-    ``cache`` bounds a worker's memory: entries of each generation, of some 350 bytes; texts are taken in blocks of 20 characters an entry."""
+    ``cache`` bounds the bytes that a worker keeps of what it encoded; unless ``lasting``, it keeps nothing between tasks.
+    Texts are taken in blocks of a few megabytes; a longer one takes memory of some ten times its own bytes."""
     new = ["n_tokens", *(["ids"] if ids else []), *(["ids_sha256", "decoded_sha256"] if digests else [])]
     keep = [c for c in docs.columns if c not in {"text", *new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_file, pattern)
-        c.most = cache
+        c.cache = cache
+        gc.disable()  # the cache holds no cycles, and to look for them again and again takes long
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
-            at = 0
-            for block in _blocks(batch.column(len(keep)), 20 * cache):
-                done = c.run(block)
-                columns = [pa.array([x[0] for x in done], pa.int64())]
-                if ids:
-                    columns.append(pa.array([np.array(x[1].split(","), dtype=np.int32) if x[1] else [] for x in done], pa.list_(pa.int32())))
-                if digests:
-                    columns += [pa.array([sha(x[1].encode()) for x in done]), pa.array([sha(x[2]) for x in done])]
-                rest = [batch.column(k).slice(at, len(block)) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*rest, *columns], names=[*keep, *new])
-                at += len(block)
+        for batch in sliced(batches, len(keep), BLOCK_BYTES):
+            done = c.run([t or "" for t in batch.column(len(keep)).to_pylist()])
+            columns = [pa.array([x.count(",") + 1 if x else 0 for x, _ in done], pa.int64())]
+            if ids:
+                columns.append(_id_lists([x for x, _ in done]))
+            if digests:
+                columns += [pa.array([sha(x.encode()) for x, _ in done]), pa.array([sha(y) for _, y in done])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *new])
+        gc.enable()
+        if not lasting:
+            c.close()
 
     kinds = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{n} {kinds[n]}" for n in new)])
     return docs.select(*keep, F.col("text").cast("string")).mapInArrow(trimmed(run), schema)
 
 
+def _id_lists(joined: list[str]) -> pa.Array:
+    """Ids joined by commas as lists of numbers."""
+    flat = ",".join([x for x in joined if x])
+    numbers = np.array(flat.split(","), dtype=np.int32) if flat else np.zeros(0, np.int32)
+    ends = np.cumsum([x.count(",") + 1 if x else 0 for x in joined])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(numbers))
+
+
 def decode_documents(tokens: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """``tokens`` with a column ``text``, decoded from ``ids`` (null ids: no tokens; bytes that aren't UTF-8 become U+FFFD)."""
     keep = [c for c in tokens.columns if c != "text"]

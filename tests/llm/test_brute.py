@@ -222,12 +222,30 @@ def test_tokens_as_tiktoken():
     rng = random.Random(3)
     odd = ["", " ", "  a  b ", "it's 'VE don't", "x" * 700, "ab" * 200, "<|endoftext|>", "日本語😀" * 90, "\n\n \t a\r\n", "1234567 8", "a\x00b\x0bc"]
     odd += ["".join(rng.choice("ab'st \n\t!.,12é日😀") for _ in range(rng.randint(1, 200))) for _ in range(100)]
-    for t, (n, ids, back) in zip(odd, own.run(odd), strict=True):
-        want = library.encode_ordinary(t)
-        assert n == len(want) and ids == ",".join(map(str, want)) and back == t.encode()
+    spaces = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0x200B, 0x180E)]
+    odd += [f"a{x}b, {x}c{y}d {y}{x}\ne{x}" for x in spaces for y in spaces] + ["a" + x for x in spaces] + [x + "a\nb" for x in spaces] + ["ab\n", "\nab", "a\n\nb c", "é x²³ ª ǅ 'll don't ''s"]
+    for _ in range(2):  # encoded anew, and from the cache
+        for t, (ids, back) in zip(odd, own.run(odd), strict=True):
+            assert ids == ",".join(map(str, library.encode_ordinary(t))) and back == t.encode()
     assert own.decode([library.encode_ordinary(t) for t in odd]) == [t.encode() for t in odd]
 
 
+def test_token_cache_is_bounded_by_bytes():
+    import public_tokenizers as p
+
+    from fieldloom.llm.bpe import Codec
+
+    own = Codec(p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN)
+    own.cache = 400_000
+    rng = random.Random(5)
+    for k in range(6):
+        # Double spaces, long stretches without any, and ever new words.
+        texts = [" ".join(rng.choice("abcdefgh") * 2 + str(rng.random()) for _ in range(200)).replace(" ", "  " if k % 2 else " ", 1), f"{k}" * 5000]
+        assert [back for _, back in own.run(texts)] == [t.encode() for t in texts]
+        size = sum(map(len, (*own.ids, *own.back, *own.old[2], *own.old[3])))
+        assert size < 400_000 and max(map(len, [*own.spaced, *own.bare, ""])) <= 128
+
+
 def test_text_counts(spark):
     import re
 
