@@ -8,7 +8,7 @@ fit, is the document's quality.
 
 Training uses at most ``MAX_BAD`` low-quality and ``MAX_GOOD`` other labelled texts (by the order of a hash of
 doc_id), collected to the driver, with a text's label standing for each of its lines; the likelihood is climbed by Adam.
-Scoring covers whole texts, in place.
+Scoring covers whole texts, in place, a megabyte at a time; a longer text is read alone, at some 65 times its bytes.
 
 Edge cases: null and empty texts are one empty line; blank lines count as lines of one byte; repeated rows score
 each; without labels of both kinds every score is 0; no rows give no rows; other columns are ignored.
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import fold
+from fieldloom.llm._common import fold, sliced, trimmed
 from fieldloom.llm.toxicity import _logistic, labelled_texts
 
 #: Labelled texts that are learnt from at most.
 MAX_BAD, MAX_GOOD = 1500, 3000
+#: Bytes of texts that are read together; working arrays take some 65 bytes for each.
+PIECE = 1 << 20
 #: Upper ends of the bins of each feature of a line.
 BINS = {
     "bytes": [1, 20, 60, 120, 250, 500, 1000, 3000],
@@ -189,7 +191,9 @@ def train(texts: list[bytes], good: list[int], steps: int = 150, rate: float = 0
         return None
     chain = Chain()
     # In blocks, as the working arrays hold a few words of memory for each byte of text.
-    parts = [line_features(texts[k : k + 128]) for k in range(0, len(texts), 128)]
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = np.flatnonzero(np.diff(ends // PIECE, prepend=0))
+    parts = [line_features(list(p)) for p in np.split(np.array([*texts, None], dtype=object)[:-1], cuts) if len(p)]
     bins, size, n_lines = (np.concatenate(x) for x in zip(*parts, strict=True))
     label = np.repeat(y, n_lines)
     # Both labels weigh the same, and a long text no more than a short one by its number of lines.
@@ -223,15 +227,13 @@ def score_documents(docs: DataFrame, chain: Chain | None, keep: list[str]) -> Da
     """The columns ``keep`` and ``score`` for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [t or b"" for t in batch.column(len(keep)).to_pylist()]
-                scores = np.zeros(len(texts)) if chain is None else chain.score(texts)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
+        for batch in sliced(batches, len(keep), PIECE, 256):
+            texts = [t or b"" for t in batch.column(len(keep)).to_pylist()]
+            scores = np.zeros(len(texts)) if chain is None else chain.score(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "score double"])
-    return docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
