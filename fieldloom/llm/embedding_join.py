@@ -11,7 +11,7 @@ task holds more than ``HOME + OTHERS`` vectors however large a cell is. A block
 count of links and a spanning forest of the links, never its pairs. Equal vectors are one vector with a
 multiplicity, which the counts add up.
 
-Edge cases: vectors that are null, empty or zero or that hold null or non-finite components link with nothing; shorter vectors
+Edge cases: null ids are rows like others (a component of none but null ids has the id null, and its rows are kept); vectors that are null, empty or zero or that hold null or non-finite components link with nothing; shorter vectors
 count as padded with zeros; rows that repeat vec_id count as rows; no rows give no rows.
 """
 
@@ -96,17 +96,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         vectors.select(F.col("vec_id").cast("long"), F.when(fine, plain).alias("x")).select("*", F.when(F.col("x").isNotNull(), F.xxhash64("x")).alias("h1"), F.xxhash64(F.lit("v"), "x").alias("h2"))
     )
     distinct = checkpointed(
-        rows.where("x is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x"))
+        rows.where("x is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("x").alias("x"))
+        .withColumn("id", F.monotonically_increasing_id())  # vec_id may be null
     )
     size = distinct.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w")).first()
     n, width = size["n"], size["w"] or 1
     links, counts = None, None
     if n:
         wanted = int(min(MAX_PIVOTS, max(1, n // PER_PIVOT)))
-        chosen = distinct.select("x", F.xxhash64(F.lit("pivot"), "h1").alias("o")).orderBy("o").limit(wanted).collect()
+        # By a hash: about twice as many as are wanted reach the driver, which takes the least ones.
+        share = F.pmod(F.xxhash64(F.lit("pivot"), "h1"), F.lit(max(1, n // (2 * wanted + 40)))) == 0
+        chosen = sorted((r["o"], r["x"]) for r in distinct.where(share).select("x", F.xxhash64(F.lit("pivot order"), "h1").alias("o")).collect())[:wanted]
         pivots = np.zeros((len(chosen), width))
-        for k, row in enumerate(chosen):
-            pivots[k, : len(row["x"])] = row["x"]
+        for k, (_, x_) in enumerate(chosen):
+            pivots[k, : len(x_)] = x_
         pivots = _units(pivots)
         between = np.linalg.norm(pivots[:, None] - pivots[None], axis=2) if len(pivots) <= 256 else np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
 
@@ -119,11 +122,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], names=["cell", "d"])
 
         # One row for each pivot, MAX_PIVOTS at most.
-        sizes = distinct.select("x").mapInArrow(at_home, "cell int, d double").groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()
-        radius, homes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
+        sizes = distinct.select("x").mapInArrow(at_home, "cell int, d double").groupBy("cell").agg(F.max("d").alias("radius")).collect()
+        radius = np.full(len(pivots), -np.inf)
         for s in sizes:
-            radius[s["cell"]], homes[s["cell"]] = s["radius"], s["n"]
-        blocks = np.maximum(1, -(-homes // HOME)).astype(np.int64)
+            radius[s["cell"]] = s["radius"]
 
         def place(batches):
             for whole in batches:
@@ -139,20 +141,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                     guest[np.arange(len(own)), own] = True
                     row, cell = np.nonzero(guest)
                     is_home = own[row] == cell
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(k).take(pa.array(row)) for k in range(3)] + [pa.array(cell.astype(np.int32)), pa.array(is_home), pa.array(blocks[cell])],
-                        names=["id", "weight", "x", "cell", "home", "blocks"],
-                    )
-
-        placed = distinct.select("id", "weight", F.col("x")).mapInArrow(place, "id long, weight long, x array<double>, cell int, home boolean, blocks long")
-        # Others' blocks follow the largest number that a cell could have: all vectors.
-        others = max(1, -(-n // OTHERS))
-        salted = placed.select(
-            "id", "weight", "x", "cell", "home",
-            F.pmod(F.xxhash64(F.lit("home"), "id"), F.col("blocks")).alias("my_home"), F.pmod(F.xxhash64(F.lit("other"), "id"), F.lit(others)).alias("my_other"), "blocks",
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(is_home)], names=["id", "cell", "home"])
+
+        # Stored once, without the vectors; each cell is dealt into blocks by its own counts, one row for each pivot.
+        placed = checkpointed(distinct.select("id", "weight", "x").mapInArrow(place, "id long, cell int, home boolean"))
+        of_cell = placed.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / HOME).cast("long").alias("blocks"), F.ceil(F.count("*") / OTHERS).cast("long").alias("others"))
+        dealt = placed.join(F.broadcast(of_cell), "cell").select(
+            "id", "cell", "home", "blocks", "others",
+            F.pmod(F.xxhash64(F.lit("home"), "id"), F.col("blocks")).alias("hb"), F.pmod(F.xxhash64(F.lit("other"), "id"), F.col("others")).alias("ob"),
+        ).where("blocks > 0")
+        until = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        stands = dealt.where("home").select("id", "cell", F.lit(True).alias("home"), "hb", until("others").alias("ob")).unionByName(
+            dealt.select("id", "cell", F.lit(False).alias("home"), until("blocks").alias("hb"), "ob")
         )
-        homes_out = salted.where("home").select("id", "weight", "x", "cell", F.lit(True).alias("home"), F.col("my_home").alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias("ob"))
-        others_out = salted.select("id", "weight", "x", "cell", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("hb"), F.col("my_other").alias("ob"))
+        blocks = stands.join(distinct.select("id", "weight", "x"), "id")
 
         def join(block: pa.Table) -> pa.Table:
             block = block.combine_chunks()
@@ -173,15 +175,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
                 }
             )
 
-        found = checkpointed(homes_out.unionByName(others_out).groupBy("cell", "hb", "ob").applyInArrow(join, "id long, links long, to long").where("links > 0 or to is not null"))
+        found = checkpointed(blocks.groupBy("cell", "hb", "ob").applyInArrow(join, "id long, links long, to long").where("links > 0 or to is not null"))
         counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
         links = components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     if counts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    of_vector = checkpointed(
-        distinct.select("h1", "h2", "id", "weight").join(counts, "id", "left").join(links.withColumnRenamed("node", "id"), "id", "left")
-        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    member = checkpointed(
+        distinct.select("h1", "h2", "id", "least", "weight").join(counts, "id", "left").join(links.withColumnRenamed("node", "id"), "id", "left")
+        .select("h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
     )
+    of_vector = checkpointed(member.join(member.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("h1", "h2", "n_links", "component_id"))
     out = rows.join(bounded(of_vector, of_vector.count()), ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
