@@ -21,12 +21,12 @@ from fieldloom.llm._common import bounded, checkpointed, fold, words
 
 #: Ratios that the rules bound from above, as SQL over the counts.
 RULES = {
-    "word_length": "word_chars / n_words",
-    "symbols": "n_symbols / n_words",
-    "duplicate_lines": "n_dup_lines / n_lines",
-    "repeated_words": "n_repeat_words / n_words",
-    "upper_case": "n_upper / word_chars",
-    "marks": "n_marks / n_words",
+    "word_length": "try_divide(word_chars, n_words)",
+    "symbols": "try_divide(n_symbols, n_words)",
+    "duplicate_lines": "try_divide(n_dup_lines, n_lines)",
+    "repeated_words": "try_divide(n_repeat_words, n_words)",
+    "upper_case": "try_divide(n_upper, word_chars)",
+    "marks": "try_divide(n_marks, n_words)",
 }
 #: The cutoffs tried for each rule, from strict to lax.
 CUTOFFS = {
@@ -92,7 +92,7 @@ def safe_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.05, delta
     clean = counts.join(
         labels.where((F.col("quality") == 1) & (fold(F.col("doc_id"), 5) != 0)).select("doc_id").distinct(), "doc_id", "left_semi"
     ).where("n_words > 0")
-    lines = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.expr(RULES[r]) > c).cast("long").alias("hit")) for r in RULES for i, c in enumerate(CUTOFFS[r])]
+    lines = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.coalesce(F.expr(RULES[r]) > c, F.lit(False)).cast("long").alias("hit")) for r in RULES for i, c in enumerate(CUTOFFS[r])]
     per = (
         clean.select(F.col("lang").alias("stratum"), F.inline(F.array(*lines)))
         .groupBy("stratum", "rule", "step", "cutoff").agg(F.count("*").alias("n"), F.sum("hit").alias("k"))
