@@ -202,9 +202,10 @@ class Codec:
         for names, known, found, ahead in ((self.spaced, self.old[0], 0, " "), (self.bare, self.old[1], 1, "")):
             words = list({*self._of_old(names, known, more[found]), *alone[found]})
             raw = [(ahead + w).encode() for w in words]
-            for at in range(0, len(raw), CHUNK_WORDS):
-                done = self.encode(raw[at : at + CHUNK_WORDS])
-                names.update(zip(words[at : at + CHUNK_WORDS], range(len(self.ids), len(self.ids) + len(done)), strict=True))
+            most = min(CHUNK_WORDS, max(1000, self.cache // 5000))  # a word in the query takes some kilobytes
+            for at in range(0, len(raw), most):
+                done = self.encode(raw[at : at + most])
+                names.update(zip(words[at : at + most], range(len(self.ids), len(self.ids) + len(done)), strict=True))
                 self.ids += [ids for ids, _ in done]
                 self.back += [bytes.fromhex(h) for _, h in done]
         for p, ahead, keys in parts:
