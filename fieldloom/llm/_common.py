@@ -84,6 +84,14 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores ahead as it takes to be no column of the frames, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text, ``[^\\x20\\x09-\\x0D]+``, as an array; null text has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -169,8 +169,8 @@ def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     chosen = checkpointed(chosen.join(groups.select("h1", "h2", "place"), ["h1", "h2"]))
     n = chosen.count()
     # Texts of the chosen forms, from the documents that hold their earliest lines.
-    holders = chosen.select(F.col("place.key").alias("__holder")).distinct()
-    of = _lines(docs.select("doc_id", "text", F.xxhash64("text").alias("__holder")).join(bounded(holders, n), "__holder", "left_semi"))
+    holders = chosen.select(F.col("place.key").alias("holder")).distinct()
+    of = _lines(docs.select("doc_id", "text", F.xxhash64("text").alias("holder")).join(bounded(holders, n), "holder", "left_semi"))
     forms = checkpointed(of.join(bounded(chosen, n), ["place", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("place", "h1", "h2", "form"))
     around = checkpointed(block_rows(forms))
     shared = around.groupBy("around").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("around")
@@ -210,11 +210,11 @@ def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text`` (and ``n_chars`` following it); no document goes."""
     gone = checkpointed(
         line_decisions(docs, min_chars).where("not kept").distinct()
-        .groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__k")).agg(F.collect_set(F.col("line").cast("int")).alias("__gone"))
+        .groupBy(F.struct("doc", "key").alias("of")).agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
     )
-    left = docs.select("*", F.xxhash64("text").alias("__key"))
-    joined = left.join(bounded(gone, gone.count() * 4), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")), "left")
-    joined = joined.select("*", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)).alias("__lines"))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i]), '\n')")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    left = docs.select(F.struct(*docs.columns).alias("d"))
+    joined = left.join(bounded(gone, gone.count() * 4), F.col("d.doc_id").eqNullSafe(F.col("of.doc")) & (F.xxhash64("d.text") == F.col("of.key")), "left")
+    joined = joined.select("d", "gone", F.when(F.col("gone").isNotNull(), F.split("d.text", "\n", -1)).alias("lines"))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("d")[c].alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm._common import checkpointed, words
+from fieldloom.llm._common import checkpointed, free_name, words
 
 #: Rows of a source that are put in order together, about.
 CELL_ROWS = 20_000
@@ -84,15 +84,21 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows that the plan gives, repeated: the columns of ``docs``, with ``text`` cut in a last, partial repetition.
 
     Documents that the mix doesn't take are left out. ``n_chars`` follows the text where it is there."""
-    nth = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(key[-1]))  # noqa: E731  tells rows apart that repeat doc_id and text
-    plan = mix_plan(docs, **how).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    plan = plan.select("*", nth("__id", "__hash").alias("__m"))
-    left = docs.select("*", F.xxhash64("text").alias("__key")).select("*", nth("doc_id", "__key").alias("__nth"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")) & (F.col("__nth") == F.col("__m"))
-    joined = left.join(plan.where("__taken > 0"), same)
-    full, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.pmod("__taken", "__size").cast("int")
+    key, place, took = (free_name(n, docs) for n in ("text_key", "place", "took"))
+    # Rows that repeat doc_id and text are told apart by a number; which of them is taken how often makes no difference.
+    plan = mix_plan(docs, **how)
+    nth = lambda text_key: F.row_number().over(Window.partitionBy("doc_id", text_key).orderBy(text_key))
+    plan = plan.select("doc_id", "text_key", nth("text_key").alias("nth"), F.struct("size", "taken").alias("took")).where("took.taken > 0")
+    plan = plan.select(F.struct("doc_id", "text_key", "nth").alias("p"), F.col("took").alias("t"))
+    left = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64("text").alias(key), "doc_id")
+    left = left.select("d", F.struct("doc_id", key, nth(key).alias(place)).alias("q"))
+    same = F.col("q.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col(f"q.{key}") == F.col("p.text_key")) & (F.col(f"q.{place}") == F.col("p.nth"))
+    joined = left.join(plan, same).select("d", F.col("t").alias(took))
+    size, taken = F.col(f"{took}.size"), F.col(f"{took}.taken")
+    full, rest = F.floor(taken / size).cast("int"), F.pmod(taken, size).cast("int")
     repeats = F.when(full > 0, F.array_repeat(F.lit(-1), full)).otherwise(F.array().cast("array<int>"))
-    rows = joined.select("*", F.explode(F.concat(repeats, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))).alias("__n"))
-    cut = F.when(F.col("__n") < 0, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("__n"), F.lit(0))), " "))
-    kept = [cut.alias("text") if c == "text" else F.char_length(cut).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    rows = joined.select("d", F.explode(F.concat(repeats, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))).alias("n"))
+    text = F.col("d.text")
+    cut = F.when(F.col("n") < 0, text).otherwise(F.array_join(F.slice(words(text), 1, F.greatest(F.col("n"), F.lit(0))), " "))
+    kept = [cut.alias("text") if c == "text" else F.char_length(cut).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("d")[c].alias(c) for c in docs.columns]
     return rows.select(*kept)

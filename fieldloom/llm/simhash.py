@@ -196,8 +196,8 @@ def _near(docs: DataFrame, ids: DataFrame, pairs: DataFrame, shingle: int) -> Da
     pairs = checkpointed(sketched.mapInArrow(hopeful, "a long, b long"))
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select("node", "first"))
     n = wanted.count()
-    of_id = bounded(wanted.select(F.col("first").alias("__id")).distinct(), n)
-    texts = docs.join(of_id, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    of_id = bounded(wanted.select(F.col("first").alias("id")).distinct(), n)
+    texts = docs.select("doc_id", "text").join(of_id, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi")
     # Ids may repeat, so that a set goes by its own hash.
     sets = _sets(texts, "s array<long>", lambda s: (s,), shingle).join(bounded(wanted.select("node"), n), "node", "left_semi")
     sets = checkpointed(sets.select("node", "s"))
@@ -275,9 +275,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Where null ids are the only ones of a group, one of its rows stays."""
     marked = similar_documents(docs, shingle)
     own = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("component_id")
-    kept = checkpointed(marked.where(own).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    kept = checkpointed(marked.where(own).groupBy(F.struct(F.col("doc_id").alias("id")).alias("of")).agg(F.count("*").alias("n")))
     n = kept.count()
-    found = docs.join(bounded(kept, n), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    alone = found.where("__n = 1").drop("__n")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return alone.unionByName(found.where("__n > 1").select("*", first.alias("__nth")).where("__nth = 1").drop("__n", "__nth"))
+    found = docs.select(F.struct(*docs.columns).alias("d")).join(bounded(kept, n), F.col("d.doc_id").eqNullSafe(F.col("of.id"))).select("d", "n")
+    first = F.row_number().over(Window.partitionBy("d.doc_id").orderBy(F.xxhash64("d.text")))
+    repeated = found.where("n > 1").select("d", first.alias("nth")).where("nth = 1").select("d")
+    return found.where("n = 1").select("d").unionByName(repeated).select(*[F.col("d")[c].alias(c) for c in docs.columns])
