@@ -312,7 +312,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool =
     of the text decoded from them. Clashing columns of the input give way to the new ones.
 
     ``cache`` bounds the bytes that a worker keeps of what it encoded; unless ``lasting``, it keeps nothing between tasks.
-    Texts are taken in blocks of a few megabytes; a longer one takes memory of some ten times its own bytes."""
+    Texts are taken in blocks of a sixtieth of that, 6 MB at most; a longer one takes memory of some ten times its own bytes."""
     new = ["n_tokens", *(["ids"] if ids else []), *(["ids_sha256", "decoded_sha256"] if digests else [])]
     keep = [c for c in docs.columns if c not in {"text", *new}]
 
@@ -321,7 +321,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, ids: bool =
         c.cache = cache
         gc.disable()  # the cache holds no cycles, and to look for them again and again takes long
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in sliced(batches, len(keep), BLOCK_BYTES):
+        for batch in sliced(batches, len(keep), min(BLOCK_BYTES, cache // 60)):
             done = c.run([t or "" for t in batch.column(len(keep)).to_pylist()])
             columns = [pa.array([x.count(",") + 1 if x else 0 for x, _ in done], pa.int64())]
             if ids:
