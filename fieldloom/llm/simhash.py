@@ -135,6 +135,8 @@ def _classes(first: DataFrame, links: DataFrame) -> DataFrame:
 NEAR, OF = 4, 5
 #: Texts sampled for the order of shingles, and the most shingles that order puts last.
 ORDER_SAMPLE, ORDER_LAST = 4_000, 100_000
+#: Turns in which some texts of each group meet the others, how many do about, and the pairs for each filed text that end the turns.
+TURNS, HUBS, PAIRS_PER_ROW = 4, 8, 2
 #: Buckets by which a text's shingles are counted, a power of two.
 BUCKETS = 256
 
@@ -217,7 +219,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Exact by prefix filtering: of two such sets, each under one order of all shingles, the first n - ceil(0.8 n) + 1 of
     each have a shingle in common. Texts are filed under these; the first of those that meet is compared with each
-    other one, and then each two that no link has joined by then, by their whole sets."""
+    other one by their whole sets, and so are a few others each turn while many pairs are left that no link has joined; then
+    each two of those that still are apart. Groups of copies are one component by then: their pairs are never made."""
     last = _common_shingles(docs, shingle)
     by_key = np.argsort(last)
     known = last[by_key]
@@ -251,11 +254,26 @@ def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     stars = met.where((F.col("node") != F.col("hub.node")) & enough("", "hub.")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     links = _near(docs, first, stars, shingle)
-    found = checkpointed(components(links))
-    rest = met.where(F.col("node") != F.col("hub.node")).join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
-    mixed = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = checkpointed(rest.join(mixed, "key", "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = met.where(F.col("node") != F.col("hub.node")).select("key", "node", "n", "at")
+    for turn in range(TURNS):
+        # What is filed under keys whose texts aren't all of one component yet.
+        named = rest.join(checkpointed(components(links)), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        named = checkpointed(named.join(mixed, "key", "left_semi"))
+        rest = named.drop("c")
+        of_class = named.groupBy("key", "c").agg(F.count("*").cast("double").alias("m"))
+        of_key = of_class.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inner"))
+        size = of_key.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2).alias("pairs")).first()
+        if not size["rows"] or size["pairs"] <= PAIRS_PER_ROW * size["rows"]:
+            break
+        # Some HUBS of a key's texts, other ones each turn, meet those of other components: as many pairs for each row.
+        shares = of_key.select("key", F.greatest(F.lit(1), F.floor(F.col("m") / HUBS)).cast("long").alias("share"))
+        hubs = named.join(shares, "key").where(F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("share")) == 0)
+        spokes = named.join(hubs.select("key", F.struct("node", "n", "at", "c").alias("hub")), "key").where((F.col("c") != F.col("hub.c")) & enough("", "hub."))
+        links = checkpointed(links.unionByName(_near(docs, first, spokes.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), shingle)))
+    else:
+        named = checkpointed(rest.join(checkpointed(components(links)), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c")))
+    x, y = named.alias("x"), named.alias("y")
     crossing = (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & enough("x.", "y."))

@@ -103,6 +103,9 @@ def test_similar_documents_are_all_pairs_at_the_threshold(spark, monkeypatch, kn
     from fieldloom.llm import simhash
 
     monkeypatch.setattr(simhash, "ORDER_LAST", known)
+    if not known:  # all turns, with one text of a group in each
+        monkeypatch.setattr(simhash, "PAIRS_PER_ROW", -1)
+        monkeypatch.setattr(simhash, "HUBS", 1)
     rng = random.Random(known)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(60)]
