@@ -133,9 +133,21 @@ def tile_grid(extent: DataFrame, resolution_m: float, most: int) -> DataFrame:
 
 
 def split_rows(df: DataFrame, key: str, share: float, seed: str = "split") -> DataFrame:
-    """``df`` with ``part`` ('val' or 'train') by a seeded hash of the key: a row's part never depends on other rows."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-    return df.withColumn("part", F.when(h < share, "val").otherwise("train"))
+    """``df`` with ``part``: 'val' for exactly max(1, int(n * share)) rows, the first by a seeded hash of the key, 'train' for the rest.
+
+    Counts by the leading bits of the hash say in which of 4,096 ranges the last one is; only that range is put in order."""
+    h, bits = F.xxhash64(F.lit(seed), F.col(key)), 12
+    span = F.shiftrightunsigned(h, 64 - bits)
+    sizes = sorted((r[0], r[1]) for r in df.groupBy(span.alias("span")).count().collect())
+    left = max(1, int(sum(n for _, n in sizes) * share))
+    last = -1
+    for last, n in sizes:  # noqa: B007
+        if n >= left:
+            break
+        left -= n
+    nth = F.row_number().over(Window.partitionBy(span).orderBy(h, key))
+    sure = df.where(span != last).withColumn("part", F.when(span < last, "val").otherwise("train"))
+    return sure.unionByName(df.where(span == last).withColumn("part", F.when(nth <= left, "val").otherwise("train")))
 
 
 def first_by(df: DataFrame, partition: list[str], *order: Column) -> DataFrame:

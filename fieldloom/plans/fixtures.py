@@ -87,7 +87,7 @@ ZONES = """pixels AS (SELECT event_id % 100 AS col, event_id // 100 AS row, valu
 zones AS (
   SELECT p_partkey AS fid, CAST((p_partkey % 10) * 10 AS DOUBLE) AS xmin, CAST(((p_partkey // 10) % 10) * 10 AS DOUBLE) AS ymin,
          CAST((p_partkey % 10) * 10 + (p_size % 9) + 1 AS DOUBLE) AS xmax, CAST(((p_partkey // 10) % 10) * 10 + (p_size % 9) + 1 AS DOUBLE) AS ymax
-  FROM part WHERE p_partkey < 100)"""
+  FROM part)"""
 
 
 def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, side = F.col("p_partkey"), (F.col("p_size") % 9) + 1
     x, y = (k % 10) * 10, (F.floor(k / 10) % 10) * 10
-    return table(spark, sf_dir, "part").where(k < 100).select(k.alias("fid"), box(x, y, x + side, y + side).alias("box"))
+    return table(spark, sf_dir, "part").select(k.alias("fid"), box(x, y, x + side, y + side).alias("box"))
 
 
 OVERLAPS = """crossing AS (

@@ -147,9 +147,11 @@ def boundary_mask(spark, d):
     return rasters.boundary(fx.label_grid(spark, d).where("label <> 0"), 2)
 
 
-@query("chip_filter", f"WITH {fx.GRID} SELECT row // 5 AS chip_row, col // 5 AS chip_col, count(*) FILTER (label = 1) AS field_pixels FROM grid WHERE row < 20 GROUP BY 1, 2 HAVING count(*) FILTER (label = 1) >= 0.01 * 25")
+@query("chip_filter", f"WITH {fx.GRID} SELECT row // 5 AS chip_row, col // 5 AS chip_col, count(*) FILTER (label = 1) AS field_pixels FROM grid WHERE row // 5 < (SELECT (max(row) + 1) // 5 FROM grid) GROUP BY 1, 2 HAVING count(*) FILTER (label = 1) >= 0.01 * 25")
 def chip_filter(spark, d):
-    return rasters.chips(fx.label_grid(spark, d).select("row", "col", (F.col("label") == 1).cast("int").alias("value")), 20, 25, 5)
+    grid = fx.label_grid(spark, d)
+    height = (grid.agg(F.max("row")).first()[0] or 0) + 1
+    return rasters.chips(grid.select("row", "col", (F.col("label") == 1).cast("int").alias("value")), height, 25, 5)
 
 
 @query("sliding_tiles", "WITH e AS (SELECT 1300 AS h, 900 AS w) SELECT i * 256 AS top, j * 256 AS \"left\", least(i * 256 + 512, h) AS bottom, least(j * 256 + 512, w) AS \"right\" FROM e, range(0, 6) a(i), range(0, 4) b(j)")
@@ -230,12 +232,12 @@ def pixel_count(spark, d):
 
 @query(
     "tile_grid",
-    f"""WITH {PLACES}, s AS (SELECT id, lon, lat, ceil(1.5 * 111320.0 * cos(radians((lat + lat + 1) / 2)) / 30) AS w, ceil(1.0 * 111320.0 / 30) AS h FROM places WHERE id <= 50),
+    f"""WITH {PLACES}, s AS (SELECT id, lon, lat, ceil(1.5 * 111320.0 * cos(radians((lat + lat + 1) / 2)) / 30) AS w, ceil(1.0 * 111320.0 / 30) AS h FROM places),
     g AS (SELECT *, CASE WHEN w * h > 4e6 THEN CAST(ceil(w / 2000) AS BIGINT) ELSE 1 END AS nx, CASE WHEN w * h > 4e6 THEN CAST(ceil(h / 2000) AS BIGINT) ELSE 1 END AS ny FROM s)
     SELECT id, j, i, round(lon + i * 1.5 / nx, 6) AS x0, round(lat + j * 1.0 / ny, 6) AS y0 FROM g, range(0, 10) a(j), range(0, 10) b(i) WHERE j < ny AND i < nx""",
 )
 def tile_grid(spark, d):
-    extent = _places(spark, d).where("id <= 50").select("id", F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), (F.col("lon") + 1.5).alias("xmax"), (F.col("lat") + 1.0).alias("ymax"))
+    extent = _places(spark, d).select("id", F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), (F.col("lon") + 1.5).alias("xmax"), (F.col("lat") + 1.0).alias("ymax"))
     return rasters.tile_grid(extent, 30.0, 2000).select("id", "j", "i", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
 
 

@@ -301,12 +301,12 @@ def group_by_prefix(spark, d):
     return tagged.groupBy(F.split("tag", "/")[0].alias("sensor")).agg(F.countDistinct("tag").alias("engines"), F.count("*").alias("n"))
 
 
-@query("semi_join_bbox", f"WITH {fx.REFERENCE}, {fx.PREDICTED} SELECT fid FROM reference r WHERE EXISTS (SELECT 1 FROM predicted p WHERE p.xmax >= r.xmin AND p.xmin <= r.xmax AND p.ymax >= r.ymin AND p.ymin <= r.ymax AND p.fid % 3 = 0)")
+@query("semi_join_bbox", f"WITH {fx.REFERENCE}, {fx.PREDICTED} SELECT fid FROM reference r WHERE EXISTS (SELECT 1 FROM predicted p WHERE p.xmax >= r.xmin AND p.xmin <= r.xmax AND p.ymax >= r.ymin AND p.ymin <= r.ymax)")
 def semi_join_bbox(spark, d):
     from fieldloom.operators.spatial_join import overlap_join
 
     ref = fx.reference(spark, d)
-    met = overlap_join(ref, fx.predicted(spark, d).where("fid % 3 = 0"), 100.0).select(F.col("l.fid").alias("fid"))
+    met = overlap_join(ref, fx.predicted(spark, d), 100.0).select(F.col("l.fid").alias("fid"))
     return ref.join(met, "fid", "left_semi").select("fid")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import aoi
 from fieldloom.functions import polygons
+from fieldloom.functions.rings import ring_of_box
 from fieldloom.operators import boxes, fields
 from fieldloom.sources import manifest as tiles
 from fieldloom.sources.vector import read_dataset
@@ -38,11 +39,15 @@ def query_polygons(
     clip: bool = True,
     deduplicate: bool = True,
     max_features: int | None = None,
+    skip_bad_files: bool = False,
 ) -> DataFrame:
     """Fields of a dataset (``source``) or of the tiles of a normal-form ``manifest`` that meet the study area.
 
-    Rows are compared by their bounds first, which the scan can skip by; then by their exact shape where
-    they have one. ``clip`` needs a convex area for general polygons. An empty area, or no tiles, gives an empty result."""
+    Rows are compared by their bounds first, which the scan can skip by; then by their exact shape, if they have one or
+    the area isn't a box: only what shares some of the area stays. ``clip`` cuts to the area, whatever its shape; a row cut by an area
+    that isn't convex is a polygon for each convex piece of it, and rows of boxes get a ``geometry`` by an area that isn't a box.
+    Unreadable files of a ``source`` are an error unless they are to be skipped; those of tiles are skipped.
+    An empty area, or no tiles, gives an empty result."""
     area = aoi.coerce(study_area)
     if area.empty:
         return spark.createDataFrame([], fields.EMPTY_SCHEMA)
@@ -51,7 +56,7 @@ def query_polygons(
         if df is None:
             return spark.createDataFrame([], fields.EMPTY_SCHEMA)
     elif source is not None:
-        df = read_dataset(spark, source, skip_bad_files=True)
+        df = read_dataset(spark, source, skip_bad_files=skip_bad_files)
     else:
         raise ValueError("give a source or a manifest")
     df = with_box(df)
@@ -61,17 +66,16 @@ def query_polygons(
     if max_features is not None:
         df = df.orderBy(*[c for c in ("field_id",) if c in df.columns], *order).limit(max_features)
     shaped = "geometry" in df.columns and dict(df.dtypes)["geometry"] == "binary"
-    convex = [tuple(p) for p in area.parts[0][0][:-1]] if len(area.parts) == 1 and len(area.parts[0]) == 1 else None
-    if shaped and clip and convex is None:
-        raise ValueError("clipping general polygons needs one convex area without holes")
-    if shaped and convex is not None:
-        df = df.withColumn("__cut", polygons.clip("geometry", convex)).where("__cut is not null")
+    exact = shaped or not area.is_box
+    if exact:
+        shape = F.col("geometry") if shaped else polygons.to_wkb(F.array(ring_of_box(F.col("box"))))
+        df = df.withColumn("__cut", polygons.clip_to(shape, polygons.convex_pieces(area.parts))).where("__cut is not null")
     if deduplicate:
         key = next((c for c in ("field_id", "geometry_hash") if c in df.columns), None)
         if key is not None:
             df = fields.keep_first(df, key, order)
-    if shaped and convex is not None:
-        df = df.withColumn("geometry", F.col("__cut") if clip else F.col("geometry")).drop("__cut")
+    if exact:
+        df = df.withColumn("geometry", F.col("__cut")).drop("__cut") if clip else df.drop("__cut")
         if clip:
             df = df.drop("box").withColumn("box", boxes.box(*[polygons.measures("geometry")[n] for n in BOUNDS]))
     elif clip:

@@ -9,9 +9,9 @@ from fieldloom.operators import boxes
 from fieldloom.operators.fields import READABLE, in_bounds
 
 #: Names that the columns of a manifest may have, best first.
-PATHS = ("tile_path", "out_path", "path", "file", "filename", "url", "href")
-IDS = ("tile_id", "id", "tile", "name")
-BOUNDS = (("xmin", "ymin", "xmax", "ymax"), ("minx", "miny", "maxx", "maxy"), ("west", "south", "east", "north"))
+PATHS = ("tile_path", "out_path", "path", "url", "href", "uri", "file", "filename", "parquet_path")
+IDS = ("tile_id", "id", "name")
+BOUNDS = (("minx", "miny", "maxx", "maxy"), ("xmin", "ymin", "xmax", "ymax"), ("left", "bottom", "right", "top"), ("west", "south", "east", "north"))
 
 
 def find(columns: list[str], names: tuple[str, ...]) -> str | None:
