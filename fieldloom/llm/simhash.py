@@ -135,8 +135,9 @@ def _classes(first: DataFrame, links: DataFrame) -> DataFrame:
 NEAR, OF = 4, 5
 #: Texts sampled for the order of shingles, and the most shingles that order puts last.
 ORDER_SAMPLE, ORDER_LAST = 4_000, 100_000
-#: Turns in which some texts of each group meet the others, how many do about, and the pairs for each filed text that end the turns.
-TURNS, HUBS, PAIRS_PER_ROW = 4, 8, 2
+#: Turns in which some texts of each group meet the others (further ones find few links), how many do about, and the pairs for each
+#: filed text that end the turns.
+TURNS, HUBS, PAIRS_PER_ROW = 1, 16, 2
 #: Buckets by which a text's shingles are counted, a power of two.
 BUCKETS = 256
 
