@@ -9,39 +9,36 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, its lineage cut there."""
+    """``df`` written to the cluster's checkpoint folder, its lineage cut there. Only a local session without that setting gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldloom-"))
     return df.checkpoint(eager=True)
 
 
 def connected_components(nodes: DataFrame, links: DataFrame, most_rounds: int = 80) -> DataFrame:
     """``fid, root`` for every row of ``nodes(fid)``: the least fid reachable by ``links(a, b)``.
 
-    Every node points to the least node known to it. A round lets each link's ends adopt the lesser
-    pointer and then follows pointers once (pointer jumping), so the rounds grow with the logarithm of a
-    chain's length. Only links whose ends still disagree take part; nodes without links are joined back at the end."""
-    both = settled(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fid"), F.least("a", "m").alias("root")))
+    Links are contracted by stars (Kiveris et al., 2014): a round hangs the greater neighbours of every node on the least node
+    around it, then the lesser ones, so that links turn into one star a component in rounds that grow with the logarithm
+    of the graph. Rounds end when none changes a link; only the sum that tells so reaches the driver. Nodes without links
+    are joined back at the end."""
+    ordered = lambda df, a, b: df.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
+    stars, seen = settled(ordered(links.where("a <> b"), "a", "b")), None
     for _ in range(most_rounds):
-        root_of = state.select(F.col("fid").alias("k"), F.col("root").alias("v"))
-        ends = (
-            both.join(root_of.select(F.col("k").alias("a"), F.col("v").alias("ra")), "a")
-            .join(root_of.select(F.col("k").alias("b"), F.col("v").alias("rb")), "b")
-            .where("ra <> rb")
-        )
-        # The larger root adopts the smaller one, and so do both ends.
-        offers = ends.select(F.greatest("ra", "rb").alias("fid"), F.least("ra", "rb").alias("offer")).unionByName(
-            ends.select(F.col("a").alias("fid"), F.least("ra", "rb").alias("offer"))
-        ).groupBy("fid").agg(F.min("offer").alias("offer"))
-        hooked = state.join(offers, "fid", "left").select("fid", F.least("root", F.coalesce("offer", "root")).alias("root"))
-        jump = hooked.select(F.col("fid").alias("root"), F.col("root").alias("next"))
-        following = settled(hooked.join(jump, "root", "left").select("fid", F.least("root", F.coalesce("next", "root")).alias("root")))
-        changed = following.join(state.withColumnRenamed("root", "old"), "fid").where("root <> old").limit(1).count()
-        state = following
-        if not changed:
+        around = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = around.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
+        outer = around.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        inner = outer.groupBy("hi").agg(F.min("lo").alias("m"))
+        hung = outer.join(inner, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        stars = settled(ordered(hung.unionByName(inner.select("hi", F.col("m").alias("lo"))), "hi", "lo"))
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
             break
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return nodes.select("fid").join(state, "fid", "left").select("fid", F.coalesce("root", "fid").alias("root"))
+    return nodes.select("fid").join(stars.select(F.col("hi").alias("fid"), F.col("lo").alias("root")), "fid", "left").select("fid", F.coalesce("root", "fid").alias("root"))

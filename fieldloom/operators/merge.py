@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import boxes
-from fieldloom.operators.components import connected_components
+from fieldloom.operators.components import connected_components, settled
 from fieldloom.operators.spatial_join import self_join
 
 
@@ -21,37 +20,33 @@ def merge_pairs(fields: DataFrame, cell: float, iou: float = 0.3, containment: f
     return pairs.where((F.col("iou") >= iou) | (F.col("containment") >= containment))
 
 
-def _covered(part: pd.DataFrame) -> float:
-    """Area of a union of boxes by a sweep over x with the covered length of y between events."""
-    xs = sorted(set(part.xmin) | set(part.xmax))
-    total = 0.0
-    for a, b in zip(xs, xs[1:], strict=False):
-        live = part[(part.xmin <= a) & (part.xmax >= b)].sort_values("ymin")
-        high = float("-inf")
-        for low, top in zip(live.ymin, live.ymax, strict=True):
-            if top > high:
-                total += (b - a) * (top - max(low, high))
-                high = top
-    return total
-
-
 def union_area(df: DataFrame, key: str, cell: float) -> DataFrame:
-    """``key, union_area`` of each key's boxes. Boxes are cut along grid cells first, so that a large group is many small sweeps."""
+    """``key, union_area`` of each key's boxes.
+
+    Boxes are cut along grid cells, so that a large group is many small ones. A piece alone in its cell has its own area; others
+    are summed over strips between the cell's x edges, in each the covered length of y. The work of a cell grows with the square
+    of its distinct pieces: ``cell`` should be near the usual side of a box. Keys without a box are absent."""
     b = F.col("box")
     steps = lambda low, high: F.sequence(F.floor(b[low] / cell), F.greatest(F.floor(b[low] / cell), F.ceil(b[high] / cell) - 1))
-    cut = df.select(key, "box", F.explode(steps("xmin", "xmax")).alias("cx")).select("*", F.explode(steps("ymin", "ymax")).alias("cy"))
+    cut = df.where(b.isNotNull()).select(key, "box", F.explode(steps("xmin", "xmax")).alias("cx")).select("*", F.explode(steps("ymin", "ymax")).alias("cy"))
     inside = boxes.common(b, boxes.box(F.col("cx") * cell, F.col("cy") * cell, (F.col("cx") + 1) * cell, (F.col("cy") + 1) * cell))
-    pieces = cut.select(key, "cx", "cy", inside.alias("p")).select(key, "cx", "cy", "p.*").distinct()
-    kind = dict(df.dtypes)[key]
-
-    def sweep(names: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [names[0]], "area": [_covered(part)]})
-
-    return pieces.groupBy(key, "cx", "cy").applyInPandas(sweep, f"`{key}` {kind}, area double").groupBy(key).agg(F.sum("area").alias("union_area"))
+    at = [key, "cx", "cy"]
+    pieces = cut.select(*at, inside.alias("p")).select(*at, "p.*").distinct()
+    pieces = settled(pieces.select("*", F.count("*").over(Window.partitionBy(*at)).alias("n")))
+    alone = pieces.where("n = 1").select(key, ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
+    many = pieces.where("n > 1")
+    edges = many.select(*at, F.explode(F.array("xmin", "xmax")).alias("x0")).distinct()
+    strips = edges.select("*", F.lead("x0").over(Window.partitionBy(*at).orderBy("x0")).alias("x1")).where("x1 is not null")
+    live = strips.join(many, at).where("xmin <= x0 and xmax >= x1")
+    below = Window.partitionBy(*at, "x0").orderBy("ymin", "ymax").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.greatest(F.lit(0.0), F.col("ymax") - F.greatest("ymin", F.coalesce(F.max("ymax").over(below), "ymin")))
+    covered = live.select(key, ((F.col("x1") - F.col("x0")) * free).alias("area"))
+    return alone.unionByName(covered).groupBy(key).agg(F.sum("area").alias("union_area"))
 
 
 def merge_fields(fields: DataFrame, cell: float, iou: float = 0.3, containment: float = 0.8) -> DataFrame:
     """``fid`` (the least member), ``member_count``, bounds and ``union_area`` of each group of overlapping fields."""
+    fields = settled(fields.select("fid", "box"))  # read for the pairs, the members and the areas
     roots = connected_components(fields, merge_pairs(fields, cell, iou, containment))
     return dissolve(fields.join(roots, "fid"), "root", cell).withColumnRenamed("root", "fid")
 
@@ -59,6 +54,7 @@ def merge_fields(fields: DataFrame, cell: float, iou: float = 0.3, containment:
 def dissolve(df: DataFrame, key: str, cell: float) -> DataFrame:
     """Members, bounds and union area of each key."""
     bound = lambda f, n: f(F.col(f"box.{n}")).alias(n)
+    df = settled(df.select(key, "box"))
     about = df.groupBy(key).agg(F.count("*").alias("member_count"), bound(F.min, "xmin"), bound(F.min, "ymin"), bound(F.max, "xmax"), bound(F.max, "ymax"))
     return about.join(union_area(df, key, cell), key)
 

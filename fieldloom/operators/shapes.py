@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import rings as r
 from fieldloom.operators import boxes
+from fieldloom.operators.components import settled
 
 
 def area_between(df: DataFrame, least: float = 0, most: float | None = None, column: str = "area_m2") -> DataFrame:
@@ -31,6 +32,19 @@ def with_metadata(df: DataFrame, engine: Column, source: str, year: int) -> Data
     )
 
 
+def positional(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the rows' positions by ``order`` (from 0, without gaps; ties in any order) as a long column ``name``.
+
+    Rows are dealt to key ranges, numbered within each, and moved on by the rows of the ranges before: no task sees all rows."""
+    dealt = settled(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    # One row for each partition, shuffle partitions at most.
+    sizes = dealt.groupBy("__range").count()
+    ahead = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__range", F.coalesce(ahead, F.lit(0)).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.select("*", nth.alias("__nth")).join(F.broadcast(starts), "__range").select(*df.columns, (F.col("__start") + F.col("__nth") - 1).alias(name))
+
+
 def total_bounds(df: DataFrame) -> DataFrame:
     """Bounds of all boxes, their centre, and a map zoom for their extent."""
     one = df.agg(*[f(f"box.{n}").alias(n) for f, n in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))])

@@ -92,15 +92,17 @@ def unmatched_fields(spark, d):
 
 
 LINKS = f"""links AS (SELECT a.fid AS a, b.fid AS b, {SHARED} / ({SIZE('a')} + {SIZE('b')} - {SHARED}) AS iou, {SHARED} / least({SIZE('a')}, {SIZE('b')}) AS containment
-  FROM crossing a JOIN crossing b ON a.fid < b.fid AND {MEET})"""
+  FROM crossing a JOIN crossing b ON {MEET} AND a.fid < b.fid)"""
 PICKED = "picked AS (SELECT * FROM links WHERE iou >= 0.3 OR containment >= 0.8)"
-REACH = """reach(fid, other) AS (SELECT fid, fid FROM crossing UNION SELECT r.fid, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN {links} l ON l.a = r.other OR l.b = r.other),
+REACH = """step AS MATERIALIZED (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}),
+reach(fid, other) AS (SELECT fid, fid FROM crossing UNION SELECT r.fid, l.b FROM reach r JOIN step l ON l.a = r.other),
 roots AS (SELECT fid, min(other) AS root FROM reach GROUP BY fid)"""
 #: Area of a union of boxes per group: strips between the group's x edges, and in each the covered length of y.
 UNION_AREA = """edges AS (SELECT DISTINCT {key}, x FROM (SELECT {key}, xmin AS x FROM {src} UNION ALL SELECT {key}, xmax FROM {src})),
 strips AS (SELECT {key}, x AS x0, lead(x) OVER (PARTITION BY {key} ORDER BY x) AS x1 FROM edges),
+near AS (SELECT *, unnest(range(CAST(floor(xmin / 100) AS BIGINT), CAST(floor(xmax / 100) AS BIGINT) + 1)) AS bx FROM {src}),
 live AS (SELECT s.{key}, s.x0, s.x1, f.ymin, f.ymax, max(f.ymax) OVER (PARTITION BY s.{key}, s.x0 ORDER BY f.ymin, f.ymax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high
-  FROM strips s JOIN {src} f ON f.{key} = s.{key} AND f.xmin <= s.x0 AND f.xmax >= s.x1 WHERE s.x1 IS NOT NULL),
+  FROM strips s JOIN near f ON f.{key} = s.{key} AND f.bx = CAST(floor(s.x0 / 100) AS BIGINT) AND f.xmin <= s.x0 AND f.xmax >= s.x1 WHERE s.x1 IS NOT NULL),
 areas AS (SELECT {key}, sum((x1 - x0) * greatest(0, ymax - greatest(ymin, coalesce(high, ymin)))) AS union_area FROM live GROUP BY {key})"""
 
 
@@ -136,7 +138,7 @@ def aoi_union_area(spark, d):
     return merge.union_area(fx.predicted(spark, d).withColumn("part", F.col("fid") % 3), "part", 200.0)
 
 
-TOUCHED = f"shared AS (SELECT a, b FROM (SELECT a.fid AS a, b.fid AS b, {SHARED} AS i FROM crossing a JOIN crossing b ON a.fid < b.fid AND {MEET}) WHERE i > 0)"
+TOUCHED = f"shared AS (SELECT a, b FROM (SELECT a.fid AS a, b.fid AS b, {SHARED} AS i FROM crossing a JOIN crossing b ON {MEET} AND a.fid < b.fid) WHERE i > 0)"
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.boxes import box
@@ -102,19 +102,20 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OVERLAPS = """crossing AS (
-  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey) AS fid, l_returnflag AS engine,
-         CAST((l_partkey % 200) * 40 AS DOUBLE) AS xmin, CAST((l_suppkey % 100) * 40 AS DOUBLE) AS ymin,
-         (l_partkey % 200) * 40 + l_quantity AS xmax, (l_suppkey % 100) * 40 + l_quantity AS ymax
-  FROM lineitem WHERE l_orderkey % 40 = 0)"""
+  SELECT (l_orderkey * 10 + l_linenumber) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+           ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity, l_returnflag) AS fid, l_returnflag AS engine,
+         CAST(l_partkey * 40 AS DOUBLE) AS xmin, CAST((l_suppkey % 40) * 50 AS DOUBLE) AS ymin,
+         l_partkey * 40 + l_quantity AS xmax, (l_suppkey % 40) * 50 + l_quantity AS ymax
+  FROM lineitem)"""
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 40 == 0)
-    x, y, q = (F.col("l_partkey") % 200) * 40, (F.col("l_suppkey") % 100) * 40, F.col("l_quantity")
-    # Ids by position, as the reference numbers rows: a fixture's global order, over a fortieth of the narrow rows.
-    fid = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")).cast("long")
+    """A box for each line item: the columns grow with the parts, so that boxes crowd alike at every size of the tables."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y, q = F.col("l_partkey") * 40, (F.col("l_suppkey") % 40) * 50, F.col("l_quantity")
+    # Order and line number repeat; the ids don't.
+    own = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    fid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.row_number().over(own)
     return li.select(fid.alias("fid"), F.col("l_returnflag").alias("engine"), box(x, y, x + q, y + q).alias("box"))
 
 

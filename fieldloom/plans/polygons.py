@@ -224,13 +224,13 @@ def large_field_split(spark, d):
 
 @query(
     "fiboa_metadata",
-    f"""WITH {fx.OVERLAPS} SELECT CAST(fid - 1 AS VARCHAR) AS id, (xmax - xmin) * (ymax - ymin) AS "metrics:area", 2 * ((xmax - xmin) + (ymax - ymin)) AS "metrics:perimeter",
+    f"""WITH {fx.OVERLAPS} SELECT CAST(row_number() OVER (ORDER BY fid) - 1 AS VARCHAR) AS id, (xmax - xmin) * (ymax - ymin) AS "metrics:area", 2 * ((xmax - xmin) + (ymax - ymin)) AS "metrics:perimeter",
     'auto-imagery' AS "determination:method", '1998' AS "determination:datetime", engine AS "delineation:engine", 'sentinel2' AS "delineation:source", 1998 AS "delineation:year" FROM crossing""",
 )
 def fiboa_metadata(spark, d):
-    from fieldloom.operators.shapes import with_metadata
+    from fieldloom.operators.shapes import positional, with_metadata
 
-    named = fx.overlaps(spark, d).withColumn("id", (F.col("fid") - 1).cast("string"))
+    named = positional(fx.overlaps(spark, d), ["fid"], "id").withColumn("id", F.col("id").cast("string"))
     out = with_metadata(named, F.col("engine"), "sentinel2", 1998)
     return out.select("id", *[F.col(f"`{c}`") for c in out.columns if ":" in c])
 
@@ -329,10 +329,11 @@ def date_window(spark, d):
 @query(
     "pipeline_fields",
     f"""WITH RECURSIVE {fx.OVERLAPS}, links AS (
-      SELECT a.fid AS a, b.fid AS b FROM crossing a JOIN crossing b ON a.fid < b.fid AND a.xmax >= b.xmin AND a.xmin <= b.xmax AND a.ymax >= b.ymin AND a.ymin <= b.ymax,
+      SELECT a.fid AS a, b.fid AS b FROM crossing a JOIN crossing b ON a.xmax >= b.xmin AND a.xmin <= b.xmax AND a.ymax >= b.ymin AND a.ymin <= b.ymax AND a.fid < b.fid,
       LATERAL (SELECT (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS i, (a.xmax - a.xmin) * (a.ymax - a.ymin) AS x, (b.xmax - b.xmin) * (b.ymax - b.ymin) AS y)
       WHERE i / (x + y - i) >= 0.3 OR i / least(x, y) >= 0.8),
-    reach(fid, other) AS (SELECT fid, fid FROM crossing UNION SELECT r.fid, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON l.a = r.other OR l.b = r.other),
+    step AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(fid, other) AS (SELECT fid, fid FROM crossing UNION SELECT r.fid, l.b FROM reach r JOIN step l ON l.a = r.other),
     roots AS (SELECT fid, min(other) AS root FROM reach GROUP BY fid)
     SELECT root AS id, count(*) AS members, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM crossing JOIN roots USING (fid) GROUP BY root
     HAVING max(CASE WHEN (xmax - xmin) * (ymax - ymin) >= 400 THEN 1 ELSE 0 END) = 1""",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geodesy, polygons, rings
-from fieldloom.operators import boxes, catalog, evaluate, merge
+from fieldloom.operators import boxes, catalog, evaluate, merge, shapes
 from fieldloom.operators.components import connected_components
 from fieldloom.operators.spatial_join import overlap_join
 
@@ -87,6 +87,40 @@ def test_merge(spark):
     assert set(out) == {1, 3} and out[1]["union_area"] == pytest.approx(175) and out[1]["member_count"] == 2
 
 
+def test_union_area_by_counting_squares(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(k % 4), float(x), float(y), float(x + w), float(y + h)) for k, (x, y, w, h) in enumerate(zip(*rng.integers(0, 40, (2, 120)), *rng.integers(0, 12, (2, 120)), strict=True))]
+    rows += rows[:5] + [(9, -7.0, -7.0, -2.0, 3.0)]
+    df = frame(spark, rows).withColumnRenamed("fid", "part")
+    want = {}
+    for key, x0, y0, x1, y1 in rows:
+        want.setdefault(key, set()).update((x, y) for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1)))
+    for cell in (4.0, 15.0, 100.0):
+        found = {r["part"]: r["union_area"] for r in merge.union_area(df, "part", cell).collect()}
+        assert found == {k: pytest.approx(len(v)) for k, v in want.items()}
+    empty = spark.createDataFrame([], df.schema)
+    assert merge.union_area(empty, "part", 4.0).count() == 0
+
+
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(7, 7), (8, 9), (9, 8)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    found = connected_components(spark.range(300).withColumnRenamed("id", "fid"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["fid"]: r["root"] for r in found} == dict(enumerate(root)) and len(found) == 300
+
+
+def test_positions(spark):
+    keys = [5, 3, 3, 9, -1, 12, 7, 7, 7, 0] * 30
+    out = shapes.positional(spark.createDataFrame([(k, "x") for k in keys], "k long, id string").repartition(3), ["k"], "at").collect()
+    out.sort(key=lambda r: r["at"])
+    assert [r["at"] for r in out] == list(range(300)) and [r["k"] for r in out] == sorted(keys)
+    assert shapes.positional(spark.createDataFrame([], "k long"), ["k"], "at").count() == 0
+
+
 def test_metrics(spark):
     same = [(1, 0.0, 0.0, 200.0, 200.0), (2, 500.0, 500.0, 700.0, 700.0)]
     m = evaluate.metrics(frame(spark, same), frame(spark, same)).first()
