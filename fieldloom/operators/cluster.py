@@ -94,12 +94,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``vec_id, other_id, cosine, rank`` of the k nearest vectors by cosine. The queries are a stated, small set, and are broadcast."""
+def beside(many: DataFrame, few: DataFrame, many_key: str, few_key: str, most: int = 4096, rows: int = 65_536) -> DataFrame:
+    """Every row of a stated set ``few`` beside every row of ``many``.
+
+    The set is counted and broadcast up to ``most`` rows. Beyond that both are dealt by their keys' hashes: a cell of the
+    equi-join has about ``most`` rows of the one and ``rows`` of the other, whatever the sizes of both."""
+    n = few.count()
+    if n <= most:
+        return many.crossJoin(F.broadcast(few))
+    blocks, parts = -(-n // most), -(-many.count() // rows) or 1
+    deal = lambda key, cells: F.pmod(F.xxhash64(key), F.lit(cells))
+    every = lambda cells: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    left = many.select("*", deal(many_key, parts).alias("__part"), every(blocks).alias("__block"))
+    right = few.select("*", every(parts).alias("__part"), deal(few_key, blocks).alias("__block"))
+    return left.join(right, ["__part", "__block"]).drop("__part", "__block")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4096) -> DataFrame:
+    """``vec_id, other_id, cosine, rank`` of the k nearest vectors by cosine. The queries are a stated set, met in blocks of ``most``."""
     q = queries.select("vec_id", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
     v = vectors.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("vn"))
     cosine = dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("other_id")).select("vec_id", "other_id", F.round(cosine, 6).alias("cosine"))
+    pairs = beside(v, q, "other_id", "vec_id", most).where(F.col("vec_id") != F.col("other_id")).select("vec_id", "other_id", F.round(cosine, 6).alias("cosine"))
     order = Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "other_id")
     return pairs.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
@@ -109,10 +125,9 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
     return vectors.select(label, F.posexplode("embedding").alias("at", "x")).groupBy(label, "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def nearest_centroid(vectors: DataFrame, label: str) -> DataFrame:
-    """``vec_id, nearest, distance2``: the label of the nearest centroid (the lesser of equals). One row for each label is broadcast."""
+def nearest_centroid(vectors: DataFrame, label: str, most: int = 4096) -> DataFrame:
+    """``vec_id, nearest, distance2``: the label of the nearest centroid (the lesser of equals), met in blocks of ``most`` labels."""
     packed = centroids(vectors, label).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda s: s["mean"]).alias("c"))
     gap = F.aggregate(F.zip_with("embedding", "c", lambda x, y: F.pow(x.cast("double") - y, 2)), F.lit(0.0), lambda s, x: s + x)
-    # Labels are classes of a map, few by nature; their table is aggregated to one row each.
-    all_ = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(packed)).select("vec_id", label, F.round(gap, 6).alias("d"))
+    all_ = beside(vectors.select("vec_id", "embedding"), packed, "vec_id", label, most).select("vec_id", label, F.round(gap, 6).alias("d"))
     return all_.groupBy("vec_id").agg(F.min(F.struct("d", label)).alias("m")).select("vec_id", F.col(f"m.{label}").alias("nearest"), F.col("m.d").alias("distance2"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geodesy, polygons, rings
-from fieldloom.operators import boxes, catalog, evaluate, merge, shapes
+from fieldloom.operators import boxes, catalog, cluster, evaluate, merge, shapes
 from fieldloom.operators.components import connected_components
 from fieldloom.operators.spatial_join import overlap_join
 
@@ -121,6 +121,18 @@ def test_positions(spark):
     assert shapes.positional(spark.createDataFrame([], "k long"), ["k"], "at").count() == 0
 
 
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, k % 30, [float(x) for x in rng.normal(size=4)]) for k in range(120)]
+    v = spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>")
+    q = v.where("vec_id % 3 = 0")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(cluster.nearest(q, v, 4, most=7)) == plain(cluster.nearest(q, v, 4))
+    assert plain(cluster.nearest_centroid(v, "label", most=7)) == plain(cluster.nearest_centroid(v, "label"))
+    crossed = cluster.beside(v.select("vec_id"), q.select(F.col("vec_id").alias("q")), "vec_id", "q", 7, 50)
+    assert plain(crossed) == sorted((a, b) for a in range(120) for b in range(0, 120, 3))
+
+
 def test_metrics(spark):
     same = [(1, 0.0, 0.0, 200.0, 200.0), (2, 500.0, 500.0, 700.0, 700.0)]
     m = evaluate.metrics(frame(spark, same), frame(spark, same)).first()
