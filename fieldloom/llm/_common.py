@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: The largest number of narrow rows (16 bytes or so each) that a broadcast may carry, always counted first.
 BROADCAST_ROWS = 500_000
+#: Up to so many links (2 MB or so, counted first) are settled in one task; more go through rounds over all executors.
+TASK_LINKS = 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -107,20 +109,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _settled(batches: Iterator) -> Iterator:
+    """Components of all the links of a task: roots hook onto the least root that a link leads to, until none can."""
+    import numpy as np
+    import pyarrow as pa
+
+    links = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not links:
+        return
+    u, v = (np.concatenate(x) for x in zip(*links, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, np.concatenate([root[x], root[y]]), np.concatenate([low, low]))
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, the component being its least node.
 
     Alternating large-star and small-star contractions (Kiveris et al., 2014): each round is two
     pre-aggregated minima joined back to the edges, checkpointed; the rounds needed grow with the
-    logarithm of the graph. Nothing but two counters reaches the driver. Nodes without an edge
-    to another node are absent from the result.
+    logarithm of the graph. Distinct edges that are counted to be few need no rounds: one task settles them.
+    Nothing but two counters reaches the driver. Nodes without an edge to another node are absent from the result.
     """
     state = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = None
-    if state.isEmpty():
-        return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if state.count() <= TASK_LINKS:
+        return state.coalesce(1).mapInArrow(trimmed(_settled), "node long, component long")
     for _ in range(max_rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
