@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 500_000
 #: Up to so many links (2 MB or so, counted first) are settled in one task; more go through rounds over all executors.
 TASK_LINKS = 100_000
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,9 +34,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and cut its lineage there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the cluster's checkpoint folder and cut its lineage there; its shuffle files, not needed any more, go at once."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame) -> DataFrame:
