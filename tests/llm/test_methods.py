@@ -213,3 +213,37 @@ def test_stages_take_effect(spark):
     from fieldloom.llm.bpe import codec
 
     assert codec(p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN).decode([out[3]["ids"]]) == [body[3].encode()]
+
+
+def test_few_links_settle_in_one_task_as_in_rounds(spark, monkeypatch):
+    import random
+
+    from fieldloom.llm import _common
+
+    draw = random.Random(3)
+    links = [(draw.randrange(300) - 150, draw.randrange(300) - 150) for _ in range(140)]
+    links += [(10**10 + i, 10**10 + i + 1) for i in range(60)] + [(5, 5), (2**62, -(2**62)), (None, 3)]
+    least = {}
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = least.setdefault(a, {a}), least.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                least.update(dict.fromkeys(y, x))
+    want = {(n, min(c)) for n, c in least.items()}
+    edges = spark.createDataFrame(links, "a long, b long")
+    for most in (_common.TASK_LINKS, 0):
+        monkeypatch.setattr(_common, "TASK_LINKS", most)
+        got = [tuple(r) for r in _common.components(edges).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert _common.components(edges.where("a < a")).count() == 0
+
+
+def test_checkpoints_keep_rows_and_leave_the_setting(spark):
+    from fieldloom.llm import _common
+
+    before = spark.conf.get(_common.CLEANUP, "false")
+    counted = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    cut = _common.checkpointed(counted)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, counted.collect()))
+    assert spark.conf.get(_common.CLEANUP, "false") == before
