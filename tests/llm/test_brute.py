@@ -213,6 +213,30 @@ def test_embedding_links_of_proportional_vectors(spark, monkeypatch):
     assert {r["vec_id"]: r["n_links"] for r in rows} == dict(enumerate(near.sum(axis=1)))
 
 
+def test_embedding_rounds_bound_what_is_shuffled(spark, monkeypatch):
+    """Vectors near every plane are guests of all cells; still no stage writes more than twice as many as there are, and no link is lost."""
+    from fieldloom.llm import embedding_join
+
+    x = np.random.default_rng(4).normal(size=(600, 24))
+    x[300:340] = x[:40] + np.random.default_rng(5).normal(scale=0.2, size=(40, 24))
+    for name, value in (("PER_PIVOT", 40), ("HOME", 32), ("OTHERS", 64), ("ROUND", 0)):
+        monkeypatch.setattr(embedding_join, name, value, raising=False)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    before = written()
+    rows = embedding_join.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert max(n for k, n in written().items() if k not in before) <= 2 * len(x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 60 and {r["vec_id"]: r["n_links"] for r in rows} == dict(enumerate(near.sum(axis=1)))
+
+
 def test_tokens_as_tiktoken():
     import public_tokenizers as p
     import tiktoken
