@@ -42,7 +42,11 @@ def text_fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
     else:
         parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in parts], dtype=np.uint64)
+    return _majority(np.array([digest(s, seed) for s in parts], dtype=np.uint64))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -215,13 +219,24 @@ def _near(docs: DataFrame, ids: DataFrame, pairs: DataFrame, shingle: int) -> Da
     return checkpointed(both.where((NEAR + OF) * F.col("o") >= NEAR * F.col("n")).select("a", "b"))
 
 
+def _met_by_fingerprint(first: DataFrame) -> DataFrame:
+    """``a, b``: of ``first(node, fp)``, each node with the least one of its fingerprint, and the least ones of fingerprints that link."""
+    heads = checkpointed(first.groupBy("fp").agg(F.min("node").alias("head")))
+    of = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"h{k}"))
+    across = fingerprint_links(heads.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    same = first.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return across.unionByName(same).distinct()
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``doc_id, component_id``: groups of texts linked by a Jaccard similarity of 0.8 or more of their shingle sets.
 
-    Exact by prefix filtering: of two such sets, each under one order of all shingles, the first n - ceil(0.8 n) + 1 of
-    each have a shingle in common. Texts are filed under these; the first of those that meet is compared with each
-    other one by their whole sets, and so are a few others each turn while many pairs are left that no link has joined; then
-    each two of those that still are apart. Groups of copies are one component by then: their pairs are never made."""
+    SimHash first: each set has a fingerprint, those within ``MAX_DISTANCE`` bits meet by multi-index hashing as in operator 5, and
+    whole sets verify what met. Fingerprints of sets at 0.8 may lie further apart, so what is still in different
+    components is completed exactly, by prefix filtering: of two such sets, each under one order of all shingles, the first
+    n - ceil(0.8 n) + 1 of each have a shingle in common. A few of the texts that meet under a shingle are compared with the others
+    while many pairs are left that no link has joined; then each two of those that still are apart. Groups of copies
+    are one component by then: their pairs are never made."""
     last = _common_shingles(docs, shingle)
     by_key = np.argsort(last)
     known = last[by_key]
@@ -229,23 +244,24 @@ def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def prefix(s: np.ndarray) -> tuple:
         n = len(s)
         sketch = np.minimum(np.bincount(s & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+        fp = int(np.uint64(_majority(s.view(np.uint64))).astype(np.int64))
         if not n:
-            return 0, sketch, s
+            return 0, fp, sketch, s
         rank = np.zeros(n, dtype=np.int64)  # what isn't known to be common comes first
         if len(known):
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
             rank = np.where(known[at] == s, by_key[at] + 1, 0)
-        return n, sketch, s[np.lexsort((s, rank))[: n - -(-NEAR * n // OF) + 1]]
+        return n, fp, sketch, s[np.lexsort((s, rank))[: n - -(-NEAR * n // OF) + 1]]
 
-    marked = checkpointed(_sets(docs, "n long, sketch binary, prefix array<long>", prefix, shingle))
+    marked = checkpointed(_sets(docs, "n long, fp long, sketch binary, prefix array<long>", prefix, shingle))
     # Equal sets are one node, and what only one node is filed under goes right after the only shuffle of what is filed.
-    first = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    first = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    links = _near(docs, first, _met_by_fingerprint(first), shingle)
     filed = marked.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     cell = Window.partitionBy("key")
     shared = filed.select("*", F.min("node").over(cell).alias("low"), F.max("node").over(cell).alias("high")).where("low <> high")
     met = checkpointed(shared.dropDuplicates(["key", "node"]))
-    hubs = met.where("node = low").select("key", F.struct("node", "n", "at").alias("hub"))
-    met = met.drop("high", "low").join(hubs, "key")
+    rest = met.select("key", "node", "n", "at")
 
     def enough(x: str, y: str) -> Column:
         """Of two texts filed under a shingle: lengths and ranks allow a similarity of 0.8, if it is the first that they share."""
@@ -253,9 +269,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
         alike = OF * F.least(n, m) >= NEAR * F.greatest(n, m)
         return alike & ((NEAR + OF) * F.least(n - i, m - j) >= NEAR * (n + m))
 
-    stars = met.where((F.col("node") != F.col("hub.node")) & enough("", "hub.")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _near(docs, first, stars, shingle)
-    rest = met.where(F.col("node") != F.col("hub.node")).select("key", "node", "n", "at")
     for turn in range(TURNS):
         # What is filed under keys whose texts aren't all of one component yet.
         named = rest.join(checkpointed(components(links)), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))

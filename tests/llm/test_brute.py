@@ -98,6 +98,26 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, direct):
     assert {f: found.get(f, f) for f in fps} == root
 
 
+def test_similar_documents_go_by_fingerprints(spark, monkeypatch):
+    """Near copies meet by their fingerprints, of one bit pattern or within three bits, and whole sets verify what met."""
+    from fieldloom.llm import simhash
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = ["", "one two"]
+    for _ in range(20):
+        base = [word() for _ in range(600)]
+        texts += [" ".join(base), " ".join([word(), *base[1:]]), " ".join(base).upper()]
+    of = [simhash._majority(simhash.shingle_set(t.encode()).view(np.uint64)) for t in texts]
+    seen, links = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda d: seen.append((d.collect(), links(d).collect())) or links(d))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, texts)).collect()}
+    assert len(seen) == 1 and {r["fp"] & (1 << 64) - 1 for r in seen[0][0]} == set(of)
+    near = {frozenset((a, b)) for a in of for b in of if a != b and (a ^ b).bit_count() <= 3}
+    assert near and {frozenset((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)) for r in seen[0][1]} == near
+    assert found == {k: k if k < 2 else k - (k - 2) % 3 for k in range(len(texts))}
+
+
 @pytest.mark.parametrize("known", [0, 100_000])
 def test_similar_documents_are_all_pairs_at_the_threshold(spark, monkeypatch, known):
     from fieldloom.llm import simhash
