@@ -38,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A small cache that ends with the task: the stages before have filled the executors' heap, and those of the next run follow."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, digests=True, cache=60_000_000, lasting=False)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, digests=True, cache=30_000_000, lasting=False)
 
 
 STAGES = [

@@ -247,3 +247,13 @@ def test_checkpoints_keep_rows_and_leave_the_setting(spark):
     cut = _common.checkpointed(counted)
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, counted.collect()))
     assert spark.conf.get(_common.CLEANUP, "false") == before
+
+
+def test_pipeline_encodes_with_a_small_cache(monkeypatch):
+    """Its executors' heap is full by then: a worker's cache holds 30 MB, and ends with its task."""
+    import corpus_pipeline as c
+
+    given = {}
+    monkeypatch.setattr(c, "encode_documents", lambda *a, **k: given.update(k))
+    c.tokens(None, None, "")
+    assert given["cache"] <= 30_000_000 and given["lasting"] is False
