@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,15 +14,24 @@ def ring_of_box(b: Column) -> Column:
     return F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("xmin", "ymax"), at("xmin", "ymin"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: columns are expressions, and are copied where they are named."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _edges(ring: Column) -> Column:
-    n = F.size(ring)
-    return F.arrays_zip(F.slice(ring, F.lit(1), n - 1).alias("p"), F.slice(ring, F.lit(2), n - 1).alias("q"))
+    return once(ring, lambda r: F.arrays_zip(F.slice(r, F.lit(1), F.size(r) - 1).alias("p"), F.slice(r, F.lit(2), F.size(r) - 1).alias("q")))
 
 
 def signed_area(ring: Column) -> Column:
-    """Shoelace area of a closed ring, positive if counter-clockwise."""
-    step = lambda s, e: s + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
-    return F.aggregate(_edges(ring), F.lit(0.0), step) / 2
+    """Shoelace area of a closed ring, positive if counter-clockwise; taken about its first point, so that it is as exact far from the origin."""
+
+    def about(r: Column) -> Column:
+        base = F.get(r, F.lit(0))
+        x, y = lambda p: p["x"] - base["x"], lambda p: p["y"] - base["y"]
+        return F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + (x(e["p"]) * y(e["q"]) - x(e["q"]) * y(e["p"]))) / 2
+
+    return once(ring, about)
 
 
 def ring_area(ring: Column) -> Column:
@@ -44,7 +55,7 @@ def chaikin(ring: Column, rounds: int = 3) -> Column:
                 ),
             )
         )
-        ring = F.concat(cut, F.slice(cut, 1, 1))
+        ring = once(cut, lambda c: F.concat(c, F.slice(c, 1, 1)))
     return ring
 
 
