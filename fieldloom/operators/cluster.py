@@ -110,14 +110,79 @@ def beside(many: DataFrame, few: DataFrame, many_key: str, few_key: str, most: i
     return left.join(right, ["__part", "__block"]).drop("__part", "__block")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4096) -> DataFrame:
-    """``vec_id, other_id, cosine, rank`` of the k nearest vectors by cosine. The queries are a stated set, met in blocks of ``most``."""
+def _ranked(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b`` and their cosine, rounded as SQL rounds, for the k best others in ``b`` of each row in ``a`` (NaN first, then the lesser id)."""
+    norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+    with np.errstate(all="ignore"):
+        score = (a / norm_a[:, None]) @ (b / norm_b[:, None]).T
+    score[np.isnan(score)] = np.inf
+    score[a_ids[:, None] == b_ids] = -np.inf
+    # The k-th best of the blocks' best ones is no better than the k-th best of all; what may round to the same stays in.
+    wide = -(-len(b) // max(64, 4 * k))
+    tops = np.maximum.reduceat(score, np.arange(0, len(b), wide), axis=1)
+    least = np.partition(tops, -k, axis=1)[:, -k] if tops.shape[1] >= k else np.full(len(a), -np.inf)
+    found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+    for i, row in enumerate(score):
+        j = np.flatnonzero((row >= least[i] - 2e-6) & (row > -np.inf))
+        exact = np.zeros(len(j))
+        with np.errstate(all="ignore"):
+            for x, y in zip(a[i], b[j].T, strict=True):  # in order, as SQL sums
+                exact += x * y
+            scaled = exact / (norm_a[i] * norm_b[j]) * 1e6
+            cosine = np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) / 1e6 + 0.0
+        first = np.lexsort((b_ids[j], -np.where(np.isnan(cosine), np.inf, cosine)))[:k]
+        for out, x in zip(found, (np.full(len(first), i), j[first], cosine[first]), strict=True):
+            out.append(x)
+    return tuple(np.concatenate(x) for x in found)
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    lists = pa.concat_arrays([c for c in t.column(name).chunks]) if t.num_rows else None
+    return np.empty((0, 0)) if lists is None else lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _tops(queries: DataFrame, vectors: DataFrame, k: int, most: int, rows: int) -> DataFrame:
+    """``vec_id, other_id, cosine``: for each query the k nearest of every block of vectors. All are of one length, without nulls."""
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        a, b, a_ids, b_ids = _matrix(q, "embedding"), _matrix(v, "embedding"), q.column("vec_id").to_numpy(), v.column("vec_id").to_numpy()
+        out = []
+        for at in range(0, len(a), 256) if len(b) else ():
+            i, j, cosine = _ranked(a[at : at + 256], b, a_ids[at : at + 256], b_ids, k)
+            out.append(pa.table({"vec_id": a_ids[at + i], "other_id": b_ids[j], "cosine": cosine}))
+        return pa.concat_tables(out) if out else pa.table({"vec_id": pa.array([], pa.int64()), "other_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+
+    blocks, parts = -(-queries.count() // most) or 1, -(-vectors.count() // rows) or 1
+    deal = lambda cells: F.pmod(F.xxhash64("vec_id"), F.lit(cells))
+    every = lambda cells: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    q = queries.select(F.col("vec_id").cast("long"), "embedding", deal(blocks).alias("block")).select("*", every(parts).alias("part"))
+    v = vectors.select(F.col("vec_id").cast("long"), "embedding", deal(parts).alias("part")).select("*", every(blocks).alias("block"))
+    return q.groupBy("part", "block").cogroup(v.groupBy("part", "block")).applyInArrow(run, "vec_id long, other_id long, cosine double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4096, rows: int = 16_384) -> DataFrame:
+    """``vec_id, other_id, cosine, rank`` of the k nearest vectors by cosine.
+
+    Queries and vectors are dealt to cells of some ``most`` and ``rows``, and each cell gives its k best for each of its queries: the
+    products grow with both tables, but they are matrix products, and only k rows for a query and block leave a task. Vectors that
+    lack a component, or are of another length than the others, go beside everything row by row."""
+    usual = vectors.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    even = F.col("embedding").isNotNull() & (F.size("embedding") == F.lit(usual[0]["n"] if usual else 0)) & F.forall("embedding", lambda x: x.isNotNull())
+    even = F.coalesce(even, F.lit(False))
+    found = _tops(queries.where(even), vectors.where(even), k, most, rows)
+    if not (odd := vectors.where(~even)).isEmpty():
+        found = found.unionByName(_plain(queries, odd, most))
+    if not (odd := queries.where(~even)).isEmpty():
+        found = found.unionByName(_plain(odd, vectors.where(even), most))
+    order = Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "other_id")
+    return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
+def _plain(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     q = queries.select("vec_id", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
     v = vectors.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("vn"))
     cosine = dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))
-    pairs = beside(v, q, "other_id", "vec_id", most).where(F.col("vec_id") != F.col("other_id")).select("vec_id", "other_id", F.round(cosine, 6).alias("cosine"))
-    order = Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "other_id")
-    return pairs.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    return beside(v, q, "other_id", "vec_id", most).where(F.col("vec_id") != F.col("other_id")).select("vec_id", "other_id", F.round(cosine, 6).alias("cosine"))
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:

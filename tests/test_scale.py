@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import rings
-from fieldloom.operators import boxes
+from fieldloom.operators import boxes, cluster
 
 
 def test_corner_cutting_names_its_ring_once_a_round(spark):
@@ -16,3 +17,25 @@ def test_corner_cutting_names_its_ring_once_a_round(spark):
     assert three - two < 1.5 * (two - one)  # before, each round named the ring of the last one six times
     area = far.select(rings.ring_area(rings.chaikin(F.col("ring"), 3)).alias("a")).first()["a"]
     assert area == pytest.approx(37 * 37 * (1 - 0.125 * 1.3125), abs=1e-6)  # before, 10 digits were lost to the distance
+
+
+def test_nearest_sends_k_rows_a_block_and_keeps_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in np.float32(rng.normal(size=5))]) for k in range(90)]
+    rows += [(100 + k, rows[k % 3][1]) for k in range(40)]  # ties, whose least ids count
+    rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [1.0, 2.0]), (203, [2.0, 4.0]), (204, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {(r["vec_id"], r["rank"]): (r["other_id"], r["cosine"]) for r in cluster.nearest(df, df, 3, most=40, rows=30).collect()}
+    for i, a in rows:
+        near = []
+        for j, b in rows:
+            if i != j:
+                fit = a and b and None not in a and None not in b and len(a) == len(b)
+                c = round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5), 6) if fit else None
+                near.append((2 if c is None else 0 if c != c else 1, -c if c is not None and c == c else 0.0, j))
+        for n, (kind, c, j) in enumerate(sorted(near)[:3], start=1):
+            got = found[i, n]
+            assert got[0] == j and (got[1] is None if kind == 2 else got[1] != got[1] if kind == 0 else got[1] == pytest.approx(-c, abs=1e-9))
+    even = df.where("vec_id < 200")
+    plan = cluster.nearest(even, even, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroupsInArrow" in plan  # before, every pair went through a loop row by row
