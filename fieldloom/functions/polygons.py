@@ -1,4 +1,4 @@
-"""General polygons as WKB: codec, measures, validity, simplification and clipping, as Arrow-batched pandas UDFs.
+"""General polygons as WKB: codec, measures, validity, simplification and clipping, as Arrow-batched UDFs.
 
 The kernels work on rings as numpy arrays of points. Clipping is against convex areas (Sutherland-Hodgman), which bounds and
 most areas of interest are.
@@ -7,9 +7,12 @@ most areas of interest are.
 from __future__ import annotations
 
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -254,38 +257,247 @@ def convex_pieces(parts: list[Polygon]) -> list[np.ndarray]:
     return out
 
 
-def to_wkb(rings: Column) -> Column:
-    """WKB of one polygon from its array of rings of (x, y), by plain column functions on the JVM's side where rings are few."""
+class Table(NamedTuple):
+    """The rings of many polygons: whose they are, the part in it, their place in it, and where their points are."""
+
+    row: np.ndarray
+    part: np.ndarray
+    nth: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    points: np.ndarray
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all ranges, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else start, size) + np.arange(size.sum())
+
+
+def _bytes_at(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return data[at[:, None] + np.arange(n)].view(kind)[:, 0]
+
+
+def read_table(column: pa.Array) -> Table:
+    """The rings of a column of WKB in order of rows. Plain polygons (little-endian, two dimensions) are read together, others one by one."""
+    column = column.cast(pa.large_binary())
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    begin, end = ends[:-1], ends[1:]
+    some = np.asarray(column.is_valid()) & (end > begin)
+    plain = some & (end - begin >= 9)
+    at = np.flatnonzero(plain)
+    plain[at] = (data[begin[at]] == 1) & (_bytes_at(data, begin[at] + 1, "<u4") == 3)
+    at = np.flatnonzero(plain)
+    left, place, found, nth = _bytes_at(data, begin[at] + 5, "<u4").astype(np.int64), begin[at] + 9, [], 0
+    while (go := left > nth).any():
+        rows, here = at[go], place[go]
+        fits = here + 4 <= end[rows]
+        n = np.zeros(len(rows), dtype=np.int64)
+        n[fits] = _bytes_at(data, here[fits], "<u4")
+        fits &= here + 4 + 16 * n <= end[rows]
+        plain[rows[~fits]] = False  # cut off: the reader of single ones says so
+        found.append((rows[fits], np.full(fits.sum(), nth), here[fits] + 4, n[fits]))
+        at, left, place = at[go][fits], left[go][fits], (here + 4 + 16 * n)[fits]
+        nth += 1
+    row, ring, place, size = (np.concatenate(x) if found else np.empty(0, dtype=np.int64) for x in (zip(*found, strict=True) if found else [()] * 4))
+    keep = plain[row]
+    row, ring, place, size = row[keep], ring[keep], place[keep], size[keep]
+    points = _bytes_at(data, (np.repeat(place, 2 * size) + 8 * _spread(np.zeros(len(size), dtype=np.int64), 2 * size)), "<f8").reshape(-1, 2)
+    part, start = np.zeros(len(row), dtype=np.int64), np.cumsum(size) - size
+    more: list[tuple[int, int, int, np.ndarray]] = []
+    for k in np.flatnonzero(some & ~plain):
+        more += [(k, i, j, r) for i, p in enumerate(read_wkb(data[begin[k] : end[k]].tobytes())) for j, r in enumerate(p)]
+    if more:
+        own = np.array([len(r) for *_, r in more], dtype=np.int64)
+        start = np.concatenate([start, len(points) + np.cumsum(own) - own])
+        points = np.concatenate([points, *(r for *_, r in more)])
+        row, part, ring = (np.concatenate([x, [m[i] for m in more]]) for i, x in enumerate((row, part, ring)))
+        size = np.concatenate([size, own])
+    order = np.lexsort((ring, part, row))
+    return Table(row[order], part[order], ring[order], start[order], size[order], points)
+
+
+def write_table(t: Table, rows: int, there: np.ndarray | None = None) -> pa.Array:
+    """A column of ``rows`` WKB polygons from their rings, which are in order; null where there are none (or where not ``there``: a polygon may have no rings)."""
+    multi = np.zeros(rows, dtype=bool)
+    multi[t.row[t.part > 0]] = True
+    many = {k: [] for k in np.flatnonzero(multi)}
+    for row, part, start, size in zip(*(x[multi[t.row]] for x in (t.row, t.part, t.start, t.size)), strict=True):
+        if not many[row] or many[row][-1][0] != part:
+            many[row].append((part, []))
+        many[row][-1][1].append(t.points[start : start + size])
+    many = {k: np.frombuffer(write_wkb([rings for _, rings in parts]), dtype=np.uint8) for k, parts in many.items()}
+    one = ~multi[t.row]
+    row, start, size = t.row[one], t.start[one], t.size[one]
+    rings = np.bincount(row, minlength=rows)
+    there = rings > 0 if there is None else there
+    length = np.bincount(row, weights=4 + 16 * size, minlength=rows).astype(np.int64) + 9 * there
+    length[list(many)] = [len(x) for x in many.values()]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    out = np.zeros(ends[-1], dtype=np.uint8)
+    put = lambda at, values, kind: out.__setitem__(at[:, None] + np.arange(np.dtype(kind).itemsize), np.ascontiguousarray(values, dtype=kind).view(np.uint8).reshape(len(at), np.dtype(kind).itemsize))
+    for k, x in many.items():
+        out[ends[k] : ends[k + 1]] = x
+    at = np.flatnonzero(there)
+    out[ends[at]] = 1
+    put(ends[at] + 1, np.full(len(at), 3), "<u4")
+    put(ends[at] + 5, rings[at], "<u4")
+    # A ring begins behind its row's head and the rings before it.
+    before = np.cumsum(4 + 16 * size) - (4 + 16 * size)
+    first = np.searchsorted(row, row)
+    place = ends[row] + 9 + before - before[first] if len(row) else ends[:0]
+    put(place, size, "<u4")
+    put(np.repeat(place + 4, 2 * size) + 8 * _spread(np.zeros(len(size), dtype=np.int64), 2 * size), t.points[_spread(start, size)].ravel(), "<f8")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [pa.array(length > 0).buffers()[1], pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _alike(t: Table):
+    """Rings of equally many points, together: their numbers and an array of rings by points by two."""
+    for n in np.unique(t.size):
+        at = np.flatnonzero(t.size == n)
+        for some in np.array_split(at, -(-len(at) * int(n) // 1_000_000) or 1):
+            yield some, t.points[t.start[some][:, None] + np.arange(n)]
+
+
+def _any_crossing(r: np.ndarray) -> np.ndarray:
+    """``_crossing`` of each of several rings of equally many points."""
+    n = r.shape[1] - 1
+    if n < 4:
+        return np.zeros(len(r), dtype=bool)
+    i, j = np.triu_indices(n, 2)
+    keep = ~((i == 0) & (j == n - 1))
+    i, j = i[keep], j[keep]
+    side = lambda p, q, s: (q[..., 0] - p[..., 0]) * (s[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (s[..., 0] - p[..., 0])
+    out = []
+    for x in np.array_split(r, min(len(r), -(-len(r) * len(i) // 500_000))):
+        a, b = x[:, :-1], x[:, 1:]
+        d1, d2, d3, d4 = side(a[:, i], b[:, i], a[:, j]), side(a[:, i], b[:, i], b[:, j]), side(a[:, j], b[:, j], a[:, i]), side(a[:, j], b[:, j], b[:, i])
+        out.append(((d1 * d2 < 0) & (d3 * d4 < 0)).any(axis=1))
+    return np.concatenate(out)
 
-    @F.pandas_udf("binary")
-    def encode(column: pd.Series) -> pd.Series:
-        return column.map(lambda rs: None if rs is None else write_wkb([[np.array([[p["x"], p["y"]] for p in r]) for r in rs]]))
+
+def _cross(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several rings of equally many points: x and y from the first point, and every edge's cross product."""
+    x, y = r[..., 0] - r[:, :1, 0], r[..., 1] - r[:, :1, 1]
+    return x, y, x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]
+
+
+def to_wkb(rings: Column) -> Column:
+    """WKB of one polygon from its array of rings of (x, y), a batch of rows at a time."""
+
+    @F.arrow_udf("binary")
+    def encode(column: pa.Array) -> pa.Array:
+        rows = pc.list_parent_indices(column).to_numpy()
+        each = column.flatten()
+        size = pc.fill_null(pc.list_value_length(each), 0).to_numpy().astype(np.int64)
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        xy = each.flatten()
+        points = np.stack([xy.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in (0, 1)], axis=1) if len(xy) else np.empty((0, 2))
+        return write_table(Table(rows, np.zeros(len(rows), dtype=np.int64), nth, np.cumsum(size) - size, size, points), len(column), np.asarray(column.is_valid()))
 
     return encode(rings)
 
 
 def measures(geom: str | Column) -> Column:
     """Struct of area, length, centre, bounds, vertices and validity; nulls for null or no polygons."""
-
-    @F.pandas_udf("area double, length double, cx double, cy double, xmin double, ymin double, xmax double, ymax double, vertices long, valid boolean")
-    def measure(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in column:
-            parts = read_wkb(data) if data is not None else []
-            if not parts:
-                rows.append((None,) * 10)
+    names = ("area", "length", "cx", "cy", "xmin", "ymin", "xmax", "ymax")
+
+    @F.arrow_udf(", ".join(f"{n} double" for n in names) + ", vertices long, valid boolean")
+    def measure(column: pa.Array) -> pa.Array:
+        t, rows = read_table(column), len(column)
+        signed, round_, mx, my = np.zeros((4, len(t.row)))
+        low, high, fine = np.full((len(t.row), 2), np.inf), np.full((len(t.row), 2), -np.inf), np.zeros(len(t.row), dtype=bool)
+        for at, r in _alike(t):
+            if not r.shape[1]:
                 continue
-            every = np.concatenate([r for p in parts for r in p])
-            rows.append((area(parts), length(parts), *centroid(parts), *every.min(axis=0), *every.max(axis=0), len(every), valid(parts)))
-        return pd.DataFrame(rows, columns=["area", "length", "cx", "cy", "xmin", "ymin", "xmax", "ymax", "vertices", "valid"]).astype({"valid": object, "vertices": "Int64"})
+            with np.errstate(all="ignore"):
+                x, y, cross = _cross(r)
+                signed[at] = a = cross.sum(axis=1) / 2
+                round_[at] = np.hypot(np.diff(r[..., 0], axis=1), np.diff(r[..., 1], axis=1)).sum(axis=1)
+                mx[at] = ((x[:, :-1] + x[:, 1:]) * cross).sum(axis=1) / 6 + r[:, 0, 0] * a
+                my[at] = ((y[:, :-1] + y[:, 1:]) * cross).sum(axis=1) / 6 + r[:, 0, 1] * a
+                low[at], high[at] = r.min(axis=1), r.max(axis=1)
+                if r.shape[1] >= 4:
+                    fine[at] = np.isfinite(r).all(axis=(1, 2)) & (r[:, 0] == r[:, -1]).all(axis=1) & (a != 0) & ~_any_crossing(r)
+        outer = np.where(t.nth == 0, 1.0, -1.0)
+        sign = outer * np.where(signed >= 0, 1.0, -1.0)
+        total = lambda v: np.bincount(t.row, weights=v, minlength=rows)
+        vertices = total(t.size).astype(np.int64)
+        some, weight = vertices > 0, total(sign * signed)
+        at = np.flatnonzero(some)
+        edge = lambda f, v, empty: _reduced(f, v, t.row, rows, empty)
+        x0, y0, x1, y1 = edge(np.minimum, low[:, 0], np.inf), edge(np.minimum, low[:, 1], np.inf), edge(np.maximum, high[:, 0], -np.inf), edge(np.maximum, high[:, 1], -np.inf)
+        with np.errstate(all="ignore"):
+            cx, cy = total(sign * mx) / weight, total(sign * my) / weight
+        for k in at[weight[at] == 0]:  # no area: the centre of the points
+            own = np.concatenate([t.points[t.start[i] : t.start[i] + t.size[i]] for i in np.flatnonzero(t.row == k)])
+            cx[k], cy[k] = own.mean(axis=0)
+        valid_ = edge(np.minimum, fine.astype(np.int64), 1) > 0
+        columns = [total(outer * np.abs(signed)), total(round_), cx, cy, x0, y0, x1, y1, vertices, valid_]
+        return pa.StructArray.from_arrays([pa.array(c, mask=~some) for c in columns], names=[*names, "vertices", "valid"])
 
     return measure(geom)
 
 
+def _reduced(f: np.ufunc, values: np.ndarray, row: np.ndarray, rows: int, empty) -> np.ndarray:
+    out = np.full(rows, empty, dtype=values.dtype)
+    f.at(out, row, values)
+    return out
+
+
+def _kept(t: Table, tolerance: float) -> np.ndarray:
+    """Which points of all rings Douglas and Peucker's rule keeps, every ring split at its farthest point; all rings take their steps together."""
+    keep = np.zeros(len(t.points), dtype=bool)
+    ends = [], []
+    for at, r in _alike(t):
+        if r.shape[1]:
+            far = np.hypot(*np.moveaxis(r - r[:, :1], 2, 0)).argmax(axis=1)
+            for i, j in ((t.start[at], t.start[at] + far), (t.start[at] + far, t.start[at] + r.shape[1] - 1)):
+                ends[0].append(i), ends[1].append(j)
+    a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in ends)
+    keep[a], keep[b] = True, True
+    while len(a):
+        a, b = a[b - a >= 2], b[b - a >= 2]
+        if not len(a):
+            break
+        n = b - a - 1
+        at, of = _spread(a + 1, n), np.repeat(np.arange(len(a)), n)
+        with np.errstate(all="ignore"):
+            d = (t.points[b] - t.points[a])[of]
+            mid, n2 = t.points[at] - t.points[a][of], (d * d).sum(axis=1)
+            along = np.where(n2 != 0, np.clip((mid * d).sum(axis=1) / n2, 0, 1), 0.0)
+            gap = np.hypot(*(mid - along[:, None] * d).T)
+        first = np.cumsum(n) - n
+        most = np.maximum.reduceat(gap, first)
+        k = np.minimum.reduceat(np.where(gap == most[of], at, len(t.points)), first)
+        cut = most > tolerance
+        a, b, k = a[cut], b[cut], k[cut]
+        keep[k] = True
+        a, b = np.concatenate([a, k]), np.concatenate([k, b])
+    return keep
+
+
 def simplify(geom: str | Column, tolerance: float) -> Column:
-    @F.pandas_udf("binary")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda data: None if data is None else write_wkb(simplified(read_wkb(data), tolerance)))
+    """``simplified`` of every row, a batch of rows at a time."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        t = read_table(column)
+        keep = _kept(t, tolerance)
+        before = np.concatenate([[0], np.cumsum(keep)])
+        start, size = before[t.start], before[t.start + t.size] - before[t.start]
+        new = Table(t.row, t.part, t.nth, start, size, t.points[keep])
+        fine = np.zeros(len(t.row), dtype=bool)
+        for at, r in _alike(new):
+            if r.shape[1] >= 4:
+                fine[at] = (_cross(r)[2].sum(axis=1) != 0) & ~_any_crossing(r)
+        # A ring that would fall apart stays as it is if it is an outer one; a hole goes.
+        old = ~fine & (t.nth == 0)
+        points = np.concatenate([new.points, t.points]) if old.any() else new.points
+        some = fine | old
+        start, size = np.where(old, len(new.points) + t.start, start)[some], np.where(old, t.size, size)[some]
+        return write_table(Table(t.row[some], t.part[some], t.nth[some], start, size, points), len(column))
 
     return run(geom)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions import rings
+from fieldloom.functions import polygons, rings
 from fieldloom.operators import boxes, cluster, rasters
 
 
@@ -60,3 +60,33 @@ def test_zonal_statistics_send_no_pixels_to_the_driver(spark, tmp_path):
         assert found[k] == (len(inside), pytest.approx(sum(inside) / len(inside) if inside else 0.0))
         part = sum(v > 0 for v in inside) / ((x1 - x0) * (y1 - y0) or 1)
         assert share.get(k) == (pytest.approx(part) if part > 0.4 else None)
+
+
+def test_polygon_columns_take_batches_and_agree_with_single_polygons(spark):
+    rng = np.random.default_rng(12)
+
+    def ring(n):
+        angle, r = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(1, 5, n)
+        points = np.stack([r * np.cos(angle), r * np.sin(angle)], axis=1) + rng.uniform(-50, 50, 2)
+        return np.concatenate([points, points[:1]])
+
+    shapes = [[[ring(int(rng.integers(3, 30))) for _ in range(int(rng.integers(1, 3)))] for _ in range(1 + (k % 4 == 0))] for k in range(60)]
+    shapes += [[[np.array([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)], dtype=float)]], [[np.zeros((4, 2))]], [[np.array([(0, 0), (1, 0), (2, 0), (0, 0)], dtype=float)]], []]
+    data = [(k, polygons.write_wkb(s)) for k, s in enumerate(shapes)] + [(len(shapes), b"")]
+    df = spark.createDataFrame(data, "k long, geom binary")
+    out = df.select("k", polygons.measures("geom").alias("m"), polygons.simplify("geom", 1.0).alias("s")).collect()
+    for r in out:
+        parts = shapes[r["k"]] if r["k"] < len(shapes) else []
+        if not parts:
+            assert r["m"]["area"] is None and r["m"]["valid"] is None and r["s"] is None
+            continue
+        every = np.concatenate([x for p in parts for x in p])
+        want = (polygons.area(parts), polygons.length(parts), *polygons.centroid(parts), *every.min(axis=0), *every.max(axis=0), len(every))
+        assert tuple(r["m"])[:9] == pytest.approx(want, abs=1e-6) and r["m"]["valid"] == polygons.valid(parts)
+        assert bytes(r["s"]) == polygons.write_wkb(polygons.simplified(parts, 1.0))
+    rings_ = spark.createDataFrame([(0, [[{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 3.0}], [{"x": 4.0, "y": 5.0}]]), (1, None), (2, [])], "k long, r array<array<struct<x:double,y:double>>>")
+    wkb = {r["k"]: r["w"] for r in rings_.select("k", polygons.to_wkb("r").alias("w")).collect()}
+    assert wkb[1] is None and bytes(wkb[2]) == polygons.write_wkb([[]]) and bytes(wkb[0]) == polygons.write_wkb([[np.array([(0.0, 1.0), (2.0, 3.0)]), np.array([(4.0, 5.0)])]])
+    square = spark.range(3).select(polygons.measures(polygons.to_wkb(F.array(rings.ring_of_box(boxes.box(0, 0, F.col("id") + 1, 2))))).alias("m"))
+    plan = square._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["m"]["area"] for r in square.collect()) == [2.0, 4.0, 6.0] and "ArrowEvalPython" in plan
