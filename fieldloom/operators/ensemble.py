@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import boxes
 from fieldloom.operators.components import connected_components
-from fieldloom.operators.merge import dissolve, overlap_groups
+from fieldloom.operators.merge import dissolved_overlaps
 from fieldloom.operators.spatial_join import overlap_join
 
 
 def union(fields: DataFrame, cell: float, engines: int) -> DataFrame:
     """Dissolved groups of overlapping fields of all engines."""
-    groups = dissolve(fields.join(overlap_groups(fields, cell), "fid"), "root", cell)
-    return groups.withColumn("engine_count", F.lit(engines))
+    return dissolved_overlaps(fields, cell).withColumn("engine_count", F.lit(engines))
 
 
 def intersection(parts: list[DataFrame], cell: float) -> DataFrame:

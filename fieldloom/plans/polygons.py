@@ -339,16 +339,9 @@ def date_window(spark, d):
     HAVING max(CASE WHEN (xmax - xmin) * (ymax - ymin) >= 400 THEN 1 ELSE 0 END) = 1""",
 )
 def pipeline_fields(spark, d):
-    from fieldloom.operators.merge import merge_pairs
-    from fieldloom.operators.components import connected_components
-
-    f = fx.overlaps(spark, d)
-    roots = connected_components(f, merge_pairs(f, 50.0))
-    bound = lambda g, n: g(f"box.{n}").alias(n)
-    merged = f.join(roots, "fid").groupBy(F.col("root").alias("id")).agg(
-        F.count("*").alias("members"), bound(F.min, "xmin"), bound(F.min, "ymin"), bound(F.max, "xmax"), bound(F.max, "ymax"), F.max(boxes.area(F.col("box"))).alias("most")
-    )
-    return merged.where("most >= 400").drop("most")
+    from fieldloom.operators.merge import merged_groups
+
+    return merged_groups(fx.overlaps(spark, d), 50.0).where("most >= 400").select(F.col("root").alias("id"), "members", "xmin", "ymin", "xmax", "ymax")
 
 
 @query("list_engines", registries.as_sql(registries.ENGINES, ("name", "approach", "requires_gpu")))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import polygons, rings
-from fieldloom.operators import boxes, cluster, rasters
+from fieldloom.operators import boxes, cluster, merge, rasters, tiles
 
 
 def test_corner_cutting_names_its_ring_once_a_round(spark):
@@ -90,3 +91,67 @@ def test_polygon_columns_take_batches_and_agree_with_single_polygons(spark):
     square = spark.range(3).select(polygons.measures(polygons.to_wkb(F.array(rings.ring_of_box(boxes.box(0, 0, F.col("id") + 1, 2))))).alias("m"))
     plan = square._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["m"]["area"] for r in square.collect()) == [2.0, 4.0, 6.0] and "ArrowEvalPython" in plan
+
+
+def rectangles(rng, n, span, most):
+    low = rng.integers(0, span, (n, 2)).astype(float)
+    return np.concatenate([low, low + rng.integers(0, most, (n, 2)) * np.where(rng.random((n, 1)) < 0.05, 8, 1)], axis=1)
+
+
+def common(a, b):
+    return max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+
+
+def squares(some):
+    return {(x, y) for a in some for x in range(int(a[0]), int(a[2])) for y in range(int(a[1]), int(a[3]))}
+
+
+def test_kernels_of_tiles_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(tiles, "PAIRS", 7)
+    side = rectangles(np.random.default_rng(2), 150, 60, 9)
+    zero = np.zeros(len(side), dtype=np.int64)
+    found = sorted((min(i, j), max(i, j)) for a, b in tiles.touching(side, zero, zero, 1.0) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert found == [(i, j) for i in range(150) for j in range(i + 1, 150) if (side[i, :2] <= side[j, 2:]).all() and (side[j, :2] <= side[i, 2:]).all()]
+    key = np.arange(150) % 4
+    inside = [(x, y) for x in range(64) for y in range(64)]
+    want = [len(squares(side[key == k]) & set(inside)) for k in range(4)]
+    assert tiles.cut_areas(side, zero, zero, key, 4, 1.0).tolist() == pytest.approx(want)
+    rows = [pa.RecordBatch.from_pydict({"tx": t, "ty": [0] * len(t), "n": list(range(len(t)))}) for t in ([1, 1, 2], [2, 2], [2, 2], [3], [3, 4], [])]
+    parts = [t.column("tx").to_pylist() for t in tiles.whole_tiles(iter(rows), 4)]
+    assert sum(parts, []) == [1, 1, 2, 2, 2, 2, 2, 3, 3, 4] and len(parts) > 1 and not any(set(a) & set(b) for a, b in zip(parts, parts[1:], strict=False))
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_merging_by_tiles(spark, wide):
+    side = rectangles(np.random.default_rng(3), 260, 300, 22)
+    if wide:  # one box over very many tiles: joined by size classes
+        side[0] = (0, 0, 5000, 5000)
+    rows = [(k, *map(float, a)) for k, a in enumerate(side)]
+    df = spark.createDataFrame(rows, "fid long, xmin double, ymin double, xmax double, ymax double").select("fid", boxes.box(*tiles.SIDES).alias("box"))
+    df = df.unionByName(spark.range(1000, 1001).select(F.col("id").alias("fid"), F.lit(None).cast(df.schema["box"].dataType).alias("box")))
+    area = [(a[2] - a[0]) * (a[3] - a[1]) for a in side]
+    links = []
+    for i in range(len(side)):
+        for j in range(i + 1, len(side)):
+            c = common(side[i], side[j])
+            if (side[i, :2] <= side[j, 2:]).all() and (side[j, :2] <= side[i, 2:]).all() and c and (c / (area[i] + area[j] - c) >= 0.1 or c / min(area[i], area[j]) >= 0.4):
+                links.append((i, j))
+    root = list(range(len(side)))
+    for _ in root:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    pairs = merge.merge_pairs(df, 1.0, 0.1, 0.4)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == links and len(links) > 30
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert wide or ("Join" not in plan and "MapInArrow" in plan)  # before, the table was shuffled and sorted twice
+    assert {r["fid"]: r["root"] for r in merge.merge_roots(df, 1.0, 0.1, 0.4).collect()} == dict(enumerate(root)) | {1000: 1000}
+    if wide:
+        return
+    found = {r["fid"]: (r["member_count"], r["xmin"], r["ymax"], r["union_area"]) for r in merge.merge_fields(df, 1.0, 0.1, 0.4).collect()}
+    for k in set(root):
+        own = side[[i for i in range(len(side)) if root[i] == k]]
+        assert found.pop(k) == (len(own), own[:, 0].min(), own[:, 3].max(), pytest.approx(len(squares(own))))
+    assert not found
+    whole = df.withColumn("part", F.when(F.col("fid") % 2 == 0, "even"))
+    kept = {r["part"]: (r["member_count"], r["union_area"]) for r in merge.dissolve(whole, "part", 1.0).collect()}
+    assert kept == {"even": (131, pytest.approx(len(squares(side[::2]))))}
