@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import polygons, rings
-from fieldloom.operators import boxes, cluster, merge, rasters, tiles
+from fieldloom.operators import boxes, cluster, ensemble, merge, rasters, tiles
 
 
 def test_corner_cutting_names_its_ring_once_a_round(spark):
@@ -155,3 +155,23 @@ def test_merging_by_tiles(spark, wide):
     whole = df.withColumn("part", F.when(F.col("fid") % 2 == 0, "even"))
     kept = {r["part"]: (r["member_count"], r["union_area"]) for r in merge.dissolve(whole, "part", 1.0).collect()}
     assert kept == {"even": (131, pytest.approx(len(squares(side[::2]))))}
+
+
+def test_pixels_as_masks(spark):
+    side = rectangles(np.random.default_rng(9), 80, 70, 12) - 30
+    rows = [(int(k % 4), *(float(v) for v in a)) for k, a in enumerate(side)] + [(0, -3.4, -3.4, -3.3, -3.3), (1, 0.0, 0.0, 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "engine long, xmin double, ymin double, xmax double, ymax double").select("engine", boxes.box(*tiles.SIDES).alias("box"))
+    df = df.withColumn("engine", F.nullif("engine", F.lit(3)))  # rows without an engine cover pixels, but have no vote
+    for size in (1.0, 2.5):
+        seen = {}
+        for engine, x0, y0, x1, y1 in rows:
+            for r in range(-40, 160):
+                for c in range(-40, 160):
+                    if x0 <= (c + 0.5) * size < x1 and y0 <= (r + 0.5) * size < y1:
+                        seen.setdefault((r, c), set()).add(engine)
+        found = [(r["row"], r["col"]) for r in ensemble.covered(df, size).collect()]
+        assert len(found) == len(seen) and set(found) == set(seen)
+        votes = {(r["row"], r["col"]): r["votes"] for r in ensemble.vote(df, 3, 0.5, size).collect()}
+        assert votes == {k: len(v - {3}) for k, v in seen.items() if len(v - {3}) >= 2}
+    plan = ensemble.covered(df, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and plan.index("Generate explode([0,1,2") < plan.index("Exchange")  # pixels are laid out behind the shuffle
